@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from strandlake.llm import pii
+from strandlake.llm import pii, winnow
 
 
 def queries() -> dict:
-    return {"op6_pii": pii.op6_pii}
+    return {"op6_pii": pii.op6_pii, "op9_fingerprints": winnow.op9_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
