@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from strandlake.llm import langid, pii, winnow
+from strandlake.llm import langid, packing, pii, winnow
 
 
 def queries() -> dict:
-    return {"op8_language": langid.op8_language, "op6_pii": pii.op6_pii, "op9_fingerprints": winnow.op9_fingerprints}
+    return {"op8_language": langid.op8_language, "op10_packing": packing.op10_packing, "op6_pii": pii.op6_pii, "op9_fingerprints": winnow.op9_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
