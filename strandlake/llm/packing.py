@@ -32,7 +32,7 @@ from strandlake.llm.tokens import encoder
 
 CAPACITY, END_ID = 4096, 1
 #: Lengths above CAPACITY // LARGE are grouped; so many groups.
-LARGE, GROUPS = 6, 48
+LARGE, GROUPS = 3, 400
 
 
 @dataclass
