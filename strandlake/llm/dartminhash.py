@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import materialize, table
@@ -219,3 +219,12 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` of which ``keep`` holds, columns as they were. Of rows that share a key, the first by text stays.
+    Rows with a null key can't be named by a class; they all stay."""
+    kept = near_duplicates(df.select(key, text), text, key).where("keep").select(key).distinct()
+    named = df.where(F.col(key).isNotNull()).join(kept, key, "left_semi")
+    named = named.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(F.length(text), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))).where("__rn = 1").drop("__rn")
+    return named.unionByName(df.where(F.col(key).isNull()))
