@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from strandlake.llm import dartminhash, langid, mixing, packing, pii, winnow
+from strandlake.llm import dartminhash, langid, mixing, packing, pii, quality, winnow
 
 
 def queries() -> dict:
-    return {"op4_near_duplicates": dartminhash.op4_near_duplicates, "op7_mixing": mixing.op7_mixing, "op8_language": langid.op8_language, "op10_packing": packing.op10_packing, "op6_pii": pii.op6_pii, "op9_fingerprints": winnow.op9_fingerprints}
+    return {"op3_quality": quality.op3_quality, "op4_near_duplicates": dartminhash.op4_near_duplicates, "op7_mixing": mixing.op7_mixing, "op8_language": langid.op8_language, "op10_packing": packing.op10_packing, "op6_pii": pii.op6_pii, "op9_fingerprints": winnow.op9_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,7 +28,7 @@ def _word_chars() -> np.ndarray:
 
 
 @cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
+def powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     base, n = 0xD6E8FEB86659FD93, SLICE * 2 + 2
     out = []
@@ -66,7 +66,7 @@ def _parts(texts: list[str | None]):
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, runs of letters, marks and digits in lower case, text after text; and each one's text."""
     hashes, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    up, down = _powers()
+    up, down = powers()
     for group in _parts(texts):
         c, starts = codes([p for _, p in group])
         word = _word_chars()[c]
