@@ -45,13 +45,16 @@ class TokenRollup:
         self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _folders(self) -> list[str]:
+    def _folders(self) -> dict[str, set[str]]:
+        """Committed folders with the ids they carry; one whose ids another carries too is left from a compaction."""
         top = self._hadoop(self.path)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
+        names = [s.getPath().getName() for s in self._fs.listStatus(top)] if self._fs.exists(top) else []
+        ids = {n: set(n.removeprefix("batch=").split("+")) for n in sorted(names) if n.startswith("batch=")}
+        return {n: own for n, own in ids.items() if not any(own < other for other in ids.values())}
 
     def committed(self) -> set[str]:
         """Ids of batches that count, compacted ones included."""
-        return {i for f in self._folders() if f.startswith("batch=") for i in f.removeprefix("batch=").split("+")}
+        return set().union(*self._folders().values())
 
     def commit(self, batch_id: str, signed: DataFrame) -> bool:
         """Adds a batch unless its id has been committed; says whether it was added. Ids are letters, digits, - and _."""
@@ -77,18 +80,17 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """KEYS, docs, tokens; groups that have lost all their documents are left out. Null keys are groups too."""
-        return self._read([f for f in self._folders() if f.startswith("batch=")]).where("docs <> 0 or tokens <> 0")
+        return self._read(list(self._folders())).where("docs <> 0 or tokens <> 0")
 
     def compact(self) -> None:
-        """Folds all committed batches into one folder that carries their ids."""
-        old = [f for f in self._folders() if f.startswith("batch=")]
+        """Folds all committed batches into one folder that carries their ids; the old ones go once it is in place."""
+        old = self._folders()
         if len(old) > 1:
             new = f"{self.path}/_new-{uuid.uuid4().hex}"
-            self._read(old).write.parquet(new)
-            ids = "+".join(sorted({i for f in old for i in f.removeprefix("batch=").split("+")}))
-            for f in old:
-                self._fs.delete(self._hadoop(f"{self.path}/{f}"), True)
-            self._put(new, f"batch={ids}")
+            self._read(list(old)).write.parquet(new)
+            if self._put(new, "batch=" + "+".join(sorted(set().union(*old.values())))):
+                for f in old:
+                    self._fs.delete(self._hadoop(f"{self.path}/{f}"), True)
 
 
 def count_tokens(df: DataFrame, texts: dict[str, str], tokenizer: str) -> DataFrame:
