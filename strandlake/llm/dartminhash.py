@@ -13,7 +13,7 @@ what is farther than twice that, and so on:
     links have distance <= D = 0.2; star: within D of the leader, linked through it; ring: within 2D; field: within 3D
     star-star: linked already. star-beyond the ring, ring-beyond the field: too far apart for a link
     ring-field (which holds star and ring): compared in blocks of bounded size, without a row for each pair
-    beyond the ring: the bucket's members of the next round, with a leader of their own
+    beyond-beyond: compared in blocks likewise, bucket by bucket
 
 So every link between texts that share a bucket is found or is implied by others.
 """
@@ -132,18 +132,18 @@ def _within(times: int) -> F.Column:
     return F.col("shared") * high >= F.col("whole") * (high - times * (high - low))
 
 
-def _around(seen: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between ring and field of each leader that join different components: (a, b). Both are cut into blocks of
-    about BLOCK; every block of the ring meets every block of the field in a group of its own."""
-    field = seen.where(_within(3)).select("leader", "node", (~_within(1) & _within(2)).alias("ring"))
-    field = field.unionByName(field.select("leader", F.col("leader").alias("node"), F.lit(False).alias("ring")).distinct())
+def _blocks(field: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links, (a, b), between rows of a group (kind, leader, node, ring) of which one at least is of the ring, and which
+    join different components. Ring and whole group are cut into blocks of about BLOCK; every block of the one meets every
+    block of the other in a task of its own."""
+    group = ["kind", "leader"]
     field = field.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    worth = field.groupBy("leader").agg(F.count("*").alias("m"), F.sum(F.col("ring").cast("int")).alias("r"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    worth = worth.where("r > 0 and lo < hi").select("leader", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("r") / BLOCK).cast("int").alias("rb"))
-    field = field.join(worth, "leader")
+    worth = field.groupBy(*group).agg(F.count("*").alias("m"), F.sum(F.col("ring").cast("int")).alias("r"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    worth = worth.where("r > 0 and lo < hi").select(*group, F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("r") / BLOCK).cast("int").alias("rb"))
+    field = field.join(worth, group)
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    right = field.select("leader", "node", "comp", F.lit(False).alias("ring"), place("mb").alias("j"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("i"))
-    left = field.where("ring").select("leader", "node", "comp", "ring", place("rb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"))
+    right = field.select(*group, "node", "comp", F.lit(False).alias("ring"), place("mb").alias("j"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("i"))
+    left = field.where("ring").select(*group, "node", "comp", "ring", place("rb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"))
     rows = right.unionByName(left).join(sets.select(F.col("row").alias("node"), "cells"), "node")
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
@@ -161,7 +161,7 @@ def _around(seen: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
                 out.append((node, nodes[i], comps[i]))
         return pd.DataFrame(out, columns=["a", "b", "c"]).drop_duplicates(["a", "c"])[["a", "b"]].astype("int64")  # one link to a component will do
 
-    return rows.groupBy("leader", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    return rows.groupBy(*group, "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -192,27 +192,21 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     same = materialize(signed.groupBy("same").agg(F.min("row").alias("node"), F.count("*").alias("copies")), "same")
     one = signed.select("row", "bands").join(same.select(F.col("node").alias("row"), "copies"), "row")
     rows = one.select(F.explode("bands").alias("band"), F.struct("copies", F.col("row").alias("node")).alias("who"))
-    sets, edges, rounds = signed.select("row", "cells"), [], 0
-    labels = None
-    while True:
-        lead = rows.groupBy("band").agg(F.max("who").alias("lead"), F.count("*").alias("n")).where("n > 1")
-        rows = materialize(rows.join(lead.select("band", F.col("lead.node").alias("leader")), "band").where("who.node <> leader"), f"bucket{rounds}")
-        seen = materialize(_likenesses(rows.select("leader", F.col("who.node").alias("node")).distinct(), sets), f"seen{rounds}")
-        if seen.limit(1).count() == 0:
-            break
-        edges.append(seen.where(_within(1)).select(F.col("leader").alias("a"), F.col("node").alias("b")))
-        labels = components(edges[0] if len(edges) == 1 else edges[-1].unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-        more = materialize(_around(seen, labels, sets), f"around{rounds}")
-        if more.limit(1).count():
-            labels = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-        far = seen.where(~_within(2)).select("leader", "node")
-        rows = rows.withColumn("node", F.col("who.node")).join(far, ["leader", "node"], "left_semi").select("band", "who")
-        rounds += 1
+    sets, pair = signed.select("row", "cells"), lambda x: x.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    lead = rows.groupBy("band").agg(F.max("who").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(lead.select("band", F.col("lead.node").alias("leader")), "band").select("band", "leader", F.col("who.node").alias("node"))
+    rows = materialize(rows.where("node <> leader"), "buckets")
+    seen = materialize(_likenesses(rows.select("leader", "node").distinct(), sets), "seen")
+    labels = components(seen.where(_within(1)).select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    field = seen.where(_within(3)).select(F.lit(0).alias("kind"), "leader", "node", (~_within(1) & _within(2)).alias("ring"))
+    field = field.unionByName(field.select("kind", "leader", F.col("leader").alias("node"), F.lit(False).alias("ring")).distinct())
+    beyond = rows.join(seen.where(~_within(2)).select("leader", "node"), ["leader", "node"], "left_semi")
+    beyond = beyond.select(F.lit(1).alias("kind"), F.col("band").alias("leader"), "node", F.lit(True).alias("ring"))
+    more = materialize(_blocks(field.unionByName(beyond), labels, sets), "more")
+    if more.limit(1).count():
+        labels = components(more.unionByName(pair(labels)))
     named = signed.select(key, "row", "same").join(same.select("same", "node"), "same")
-    if labels is not None:
-        named = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    else:
-        named = named.withColumn("comp", F.col("node"))
+    named = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = named.groupBy("comp").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key), "row")).alias("first"), F.count("*").alias("class_rows"))
     return named.join(first, "comp").select(key, F.col(f"first.{key}").alias("class_id"), "class_rows", (F.col("row") == F.col("first.row")).alias("keep"))
 
