@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 lgamma = np.vectorize(math.lgamma, otypes=[float])
 erfc = np.vectorize(math.erfc, otypes=[float])
@@ -93,7 +94,7 @@ def log_multihg(classes: list[int], drawn: list[int]) -> float:
     return min(0.0, log_sum(np.array(terms)) - float(log_choose(n, m))) if terms else -math.inf
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def log_fisher_udf(hits: pd.Series, total: pd.Series, control_hits: pd.Series, control_total: pd.Series) -> pd.Series:
     seen: dict = {}
     out = []
@@ -104,17 +105,17 @@ def log_fisher_udf(hits: pd.Series, total: pd.Series, control_hits: pd.Series, c
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def log_binomial_udf(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([log_binomial_tail(int(a), int(b), float(c)) for a, b, c in zip(k, n, p, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def erfc_udf(x: pd.Series) -> pd.Series:
     return pd.Series(erfc(x.to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lgamma_udf(x: pd.Series) -> pd.Series:
     return pd.Series(lgamma(x.to_numpy()))
 

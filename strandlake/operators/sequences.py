@@ -12,13 +12,13 @@ from strandlake.functions.symbols import DNA, Alphabet, canonical, words
 
 def seq_stats(df: DataFrame, seq: str = "seq") -> DataFrame:
     """One row: n_seqs, min_len, max_len, avg_len, total_len."""
-    n = F.length(seq)
+    n = F.length(seq).cast("bigint")
     return df.agg(F.count(seq).alias("n_seqs"), F.min(n).alias("min_len"), F.max(n).alias("max_len"), F.avg(n).alias("avg_len"), F.sum(n).alias("total_len"))
 
 
 def modal_length(df: DataFrame, seq: str = "seq") -> DataFrame:
     """The most frequent length, the shorter of those that tie."""
-    return df.groupBy(F.length(seq).alias("len")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "len").limit(1)
+    return df.groupBy(F.length(seq).cast("bigint").alias("len")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "len").limit(1)
 
 
 def letter_freqs(df: DataFrame, seq: str = "seq") -> DataFrame:
@@ -93,18 +93,15 @@ def euler_shuffle(seq: str, k: int, rng: np.random.Generator) -> str:
     for a, b in zip(nodes, nodes[1:], strict=False):
         edges.setdefault(a, []).append(b)
     end = nodes[-1]
-    while True:  # last edges that form a tree into the end, by a loop-erased walk
-        last: dict[str, str] = {}
-        done = {end}
-        for start in edges:
-            at, path = start, []
-            while at not in done:
-                last[at] = edges[at][rng.integers(len(edges[at]))]
-                path.append(at)
-                at = last[at]
-            while path:
-                done.add(path.pop())
-        break
+    last: dict[str, str] = {}  # each node's last edge; together a tree into the end, by loop-erased walks
+    done = {end}
+    for start in edges:
+        at, path = start, []
+        while at not in done:
+            last[at] = edges[at][rng.integers(len(edges[at]))]
+            path.append(at)
+            at = last[at]
+        done.update(path)
     order = {}
     for a, out in edges.items():
         rest = list(out)
