@@ -17,9 +17,9 @@ def _one(by: list[str]) -> list[Column]:
 
 def _running(df: DataFrame, value: str, by: list[str], n: str = "n") -> DataFrame:
     """Adds before (sum of ``n`` over lesser values) and total, for a table of distinct values."""
-    edge = df.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum(n).alias("total"))
+    edge = df.groupBy(*by).agg(F.min(F.col(value).cast("double")).alias("__lo"), F.max(F.col(value).cast("double")).alias("__hi"), F.sum(n).alias("total"))
     df = df.join(edge, by) if by else df.crossJoin(F.broadcast(edge))  # one row
-    spread = F.when(F.col("__hi") > F.col("__lo"), (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(0.0)
+    spread = F.when(F.col("__hi") > F.col("__lo"), (F.col(value).cast("double") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(0.0)
     df = df.withColumn("__b", F.floor(spread * (BUCKETS - 1)))
     sums = df.groupBy(*by, "__b").agg(F.sum(n).alias("__n"))
     ahead = Window.partitionBy(*_one(by)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

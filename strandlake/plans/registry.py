@@ -31,3 +31,11 @@ def query(sql: str | None = None):
         return f
 
     return wrap
+
+
+def checkpointed(spark: SparkSession) -> None:
+    """Makes sure there is a checkpoint folder: the cluster's own, or one for local sessions."""
+    import tempfile
+
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
