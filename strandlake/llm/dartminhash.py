@@ -164,21 +164,25 @@ def _blocks(field: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy(*group, "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(node, comp): the least node that links lead to, for every node with a link. Each round takes the least label of
-    the neighbours and then the label's own label; rounds are written, so that lineage stays short."""
-    edges = edges.where("a <> b")
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")), "labels")
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp): one name for all nodes that links connect, for every node with a link. In each round a node takes on
+    the neighbour (or itself) whose hash for the round is least, and links are drawn between what they have become: about
+    half go, whatever the shape. Rounds are written, so that lineage stays short."""
+    links, steps = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"), []
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").select(F.col("a").alias("node"), "comp")
-        least = near.unionByName(labels).groupBy("node").agg(F.min("comp").alias("comp"))
-        jump = least.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp").select("node", F.least("comp", "up").alias("comp"))
-        after = materialize(jump, "labels")
-        moved = after.select("node", F.col("comp").alias("now")).join(labels, "node").where("now <> comp").limit(1).count()
-        labels = after
-        if not moved:
-            return labels
+        rank = lambda c, turn=len(steps): F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("to"))
+        ends = links.select(F.col("a").alias("node"), rank("b").alias("r")).unionByName(links.select(F.col("b").alias("node"), rank("a").alias("r")))
+        step = ends.groupBy("node").agg(F.min("r").alias("r")).select("node", F.least("r", rank("node"))["to"].alias("to"))
+        steps.append(materialize(step, "step"))
+        a, b = (steps[-1].select(F.col("node").alias(c), F.col("to").alias(f"{c}2")) for c in "ab")
+        after = links.join(a, "a").join(b, "b").where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
+        links = materialize(after, "links")
+        if links.limit(1).count() == 0:
+            break
+    out = steps[0].select("node", F.col("to").alias("comp"))
+    for step in steps[1:]:
+        out = out.join(step.select(F.col("node").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return materialize(out, "labels")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
