@@ -31,9 +31,9 @@ def fdr_only(t):
     return R.raw_fdr(events(t), "p").select("event_id", F.round("fdr", 9).alias("fdr"))
 
 
-@query(f"WITH {EVENTS}, g AS (SELECT (i + 1) / 100.0::DOUBLE * 0.5 AS lam FROM range(100) t(i)) SELECT round(lam, 6) AS lam, round((SELECT count(*) FROM e WHERE p >= lam - 1e-12) / ((1 - lam) * (SELECT count(*) FROM e)), 6) AS pi0 FROM g")
+@query(f"WITH {EVENTS}, g AS (SELECT (i + 1) / 100.0::DOUBLE * 0.5 AS lam FROM range(100) t(i)) SELECT round(lam, 6) AS lam, round((SELECT count(*) FROM e WHERE p >= lam - 1e-12) / ((1 - lam) * (SELECT count(*) FROM e)), 8) AS pi0 FROM g")
 def pi0_grid(t):
-    return R.estimate_pi0(events(t), "p").select(F.round("lambda", 6).alias("lam"), F.round("pi0", 6).alias("pi0"))
+    return R.estimate_pi0(events(t), "p").select(F.round("lambda", 6).alias("lam"), F.round("pi0", 8).alias("pi0"))
 
 
 @query(f"WITH {EVENTS}, o AS (SELECT * FROM e WHERE event_type = 'click'), n AS (SELECT * FROM e WHERE event_type <> 'click'), c AS (SELECT s, count(*) AS k FROM n GROUP BY s) SELECT o.event_id, round((coalesce((SELECT sum(k) FROM c WHERE c.s >= o.s), 0) + 1) / ((SELECT count(*) FROM n) + 1), 9) AS pvalue FROM o")
