@@ -92,12 +92,12 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     rows = rows.join(base, ["__source", "__fine"]).withColumn("mix_block", F.floor((F.col("__base") + F.coalesce(F.sum("__size").over(own), F.lit(0))) / block))
     ends = shared.withColumn("ends", F.min(F.floor(F.col("total") * slots / (F.col("w") * block))).over(Window.partitionBy(F.lit(0))))
     places = period(shared, slots).join(ends.select("__source", "w", "ends"), "__source")  # ``slots`` rows, whatever the input
-    places = F.broadcast(places.select(F.col("__source").alias("__s"), "k", "slot", "w", "ends"))
+    places = F.broadcast(places.select(*[F.col(c).alias(f"__{c.strip('_')}_of") for c in ("__source", "k", "slot", "w", "ends")]))
     weight = F.broadcast(shared.select("__source", F.col("w").alias("__w")))  # a row for each source, at most ``slots``
     rows = rows.join(weight, "__source", "left")
-    rows = rows.join(places, (F.col("__source") == F.col("__s")) & (F.col("mix_block") % F.col("__w") == F.col("k")), "left")
-    slot = F.floor(F.col("mix_block") / F.col("w")) * slots + F.col("slot")
-    return rows.withColumns({"mix_slot": slot, "in_mix": F.coalesce(slot < F.col("ends"), F.lit(False))}).select(*df.columns, "mix_slot", "mix_block", "in_mix")
+    rows = rows.join(places, (F.col("__source") == F.col("__source_of")) & (F.col("mix_block") % F.col("__w") == F.col("__k_of")), "left")
+    slot = F.floor(F.col("mix_block") / F.col("__w_of")) * slots + F.col("__slot_of")
+    return rows.withColumns({"mix_slot": slot, "in_mix": F.coalesce(slot < F.col("__ends_of"), F.lit(False))}).select(*df.columns, "mix_slot", "mix_block", "in_mix")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
