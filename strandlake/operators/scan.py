@@ -65,6 +65,23 @@ def scan(df: DataFrame, pssms: list[Pssm], name: str = "seq_name", seq: str = "s
     return df.select(name, seq).mapInPandas(run, HIT)
 
 
+def best_sites(df: DataFrame, pssms: list[Pssm], name: str = "seq_name", seq: str = "seq", both_strands: bool = True) -> DataFrame:
+    """Each motif's best-scoring windows of each sequence, all of those that tie; nothing else leaves the workers."""
+    def run(frames):
+        for f in frames:
+            out = []
+            for who, text in zip(f[name], f[seq], strict=True):
+                for p in pssms:
+                    c = encode(text or "", p.symbols)
+                    sides = [(strand, window_scores(c, m)) for strand, m in (("+", p.scores), ("-", minus(p.scores, p.symbols)))[: 1 + both_strands]]
+                    best = max((int(s.max()) for _, s in sides if len(s)), default=-1)
+                    if best >= 0:
+                        out += [(p.motif_id, str(who), int(i) + 1, int(i) + p.width, strand, best) for strand, s in sides for i in np.flatnonzero(s == best)]
+            yield pd.DataFrame(out, columns=["motif_id", "seq_name", "start", "stop", "strand", "score"])
+
+    return df.select(name, seq).mapInPandas(run, "motif_id string, seq_name string, start int, stop int, strand string, score int")
+
+
 def with_qvalues(hits: DataFrame, windows: DataFrame) -> DataFrame:
     """Q-values by motif over all windows tested: ``windows`` has motif_id and n. Distinct p-values are as few as scores."""
     return qvalues(hits.join(windows.select("motif_id", F.col("n").alias("__n")), "motif_id"), "pvalue", ["motif_id"], total=F.col("__n")).drop("__n")

@@ -11,6 +11,7 @@ from strandlake.operators import enrich as E
 from strandlake.operators import motifs as M
 from strandlake.operators import ranking as R
 from strandlake.operators import tracks as T
+from strandlake.operators.scan import best_sites
 from strandlake.plans.registry import query
 from strandlake.plans.sequences import DOCS, MAX_P, PSSMS, SCAN, docs, hits
 
@@ -141,9 +142,7 @@ BEST = f"b AS (SELECT *, rank() OVER (PARTITION BY motif_id, seq_name ORDER BY s
 
 
 def best_starts(t):
-    from strandlake.operators.scan import scan
-
-    return R.best_with_ties(scan(docs(t), PSSMS, "doc_id", "seq", 1.0).select("motif_id", "seq_name", "start", "score"), "score", ["motif_id", "seq_name"])
+    return best_sites(docs(t), PSSMS, "doc_id")
 
 
 @query(f"WITH {SCAN}, {BEST} SELECT motif_id, floor(start / 10)::BIGINT AS bin, round(sum(w), 6) AS weight FROM k GROUP BY ALL")
