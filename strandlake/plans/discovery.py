@@ -150,3 +150,21 @@ def workflow_hits(t):
 @query()
 def tiled_by_sequence(t):
     return C.tile(hits(t)).groupBy("seq_name").agg(F.count("*").alias("n"))
+
+
+@query()
+def gapped_scan(t):
+    """The best gapped matches of a motif, deletions and insertions allowed."""
+    from strandlake.discover import gapped
+
+    counts = np.concatenate([MOTIFS[0].freqs * 20, np.full((MOTIFS[0].width, 1), 0.5)], axis=1)
+    return gapped.scan(docs(t), counts, np.full(4, 0.25), 100, "doc_id")
+
+
+@query()
+def non_redundant(t):
+    """Benchmark passages of which no earlier one is kept that shares half of the smaller's words of eight letters."""
+    from strandlake.operators import redundancy
+
+    checkpointed(t.spark)
+    return redundancy.non_redundant(t.benchmark.select("item_id", "text"), "item_id", "text").select("item_id")

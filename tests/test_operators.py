@@ -133,3 +133,38 @@ def test_streamed_scan_equals_batch(spark, tmp_path):
     stream.write_stream(stream.scan_stream(spark, str(tmp_path / "in"), [p], 0.2), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     batch = scan.scan(readers.read_fasta(spark, str(tmp_path / "in")), [p], max_p=0.2)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_gapped_motif_is_found_and_scanned(spark):
+    from strandlake.discover import gapped
+
+    rng = np.random.default_rng(6)
+    seqs = []
+    for i in range(24):
+        s = list(rng.choice(list("ACGT"), 30))
+        at = int(rng.integers(0, 20))
+        s[at : at + 9] = list("TGACGGCTA") if i % 3 else list("TGACAGGCTA")  # an insertion in every third
+        seqs.append("".join(s))
+    bg = np.full(4, 0.25)
+    best = gapped.discover(spark, seqs, 9, restarts=2, steps=600).first()
+    counts = np.array(best["columns"])
+    assert counts[:, :4].max(axis=1).sum() >= 0.8 * 24 * 9
+    df = spark.createDataFrame([(str(i), s) for i, s in enumerate(seqs)] + [("none", "")], "seq_name string, seq string")
+    found = gapped.scan(df, counts, bg, 10).collect()
+    assert len(found) == 10 and all(r["score"] > 0 for r in found)
+
+
+def test_keep_first_equals_going_through_in_order(spark):
+    from strandlake.operators import redundancy
+    from strandlake.plans.registry import checkpointed
+
+    checkpointed(spark)
+    rng = np.random.default_rng(8)
+    pairs = {tuple(sorted(map(int, rng.integers(0, 40, 2)))) for _ in range(45)}
+    pairs = {(a, b) for a, b in pairs if a != b}
+    kept: list[int] = []
+    for i in range(40):
+        if not any((j, i) in pairs for j in kept):
+            kept.append(i)
+    got = redundancy.keep_first(spark.range(40), spark.createDataFrame(sorted(pairs), "a long, b long"), "id")
+    assert sorted(r["id"] for r in got.collect()) == kept
