@@ -60,9 +60,9 @@ def letter_freqs(t):
     return Q.letter_freqs(docs(t)).withColumn("freq", F.round("freq", 9))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, round(length(regexp_replace(seq, '[^GC]', '', 'g')) / nullif(length(seq), 0), 9) AS gc FROM d")
+@query(f"WITH {DOCS} SELECT doc_id, round(length(regexp_replace(seq, '[^GC]', '', 'g')) / nullif(length(seq), 0), 9) AS gc FROM d WHERE length(seq) > 0")
 def gc_content(t):
-    return docs(t).select("doc_id", F.round(S.gc_content("seq"), 9).alias("gc"))
+    return docs(t).select("doc_id", F.round(S.gc_content("seq"), 9).alias("gc")).where("gc is not null")
 
 
 @query(f"WITH {DOCS} SELECT doc_id, {RC.format('seq')} AS rc FROM d")
