@@ -36,6 +36,39 @@ def seed_theta(word: str, strength: float = 0.5) -> np.ndarray:
     return out
 
 
+def score_words(df: DataFrame, candidates: list[str], bg: np.ndarray, seq: str = "seq") -> dict[str, float]:
+    """For each of a bounded list of words, the sum over sequences of its best window's log odds, where positive: all words
+    in one pass."""
+    tables = [np.concatenate([np.log(seed_theta(w) / bg), np.full((len(w), 1), -1e9)], axis=1) for w in candidates]
+
+    def run(frames):
+        total = np.zeros(len(tables))
+        for f in frames:
+            for text in f[seq]:
+                c = encode(text or "", "ACGT")
+                for k, t in enumerate(tables):
+                    n = len(c) - len(t) + 1
+                    if n > 0:
+                        total[k] += max(0.0, float(sum(t[j][c[j : j + n]] for j in range(len(t))).max()))
+        yield pd.DataFrame({"k": np.arange(len(tables)), "v": total})
+
+    return {candidates[r["k"]]: r["v"] for r in df.select(seq).mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+
+
+def branch(df: DataFrame, start: list[str], bg: np.ndarray, rounds: int = 2, beam: int = 3, seq: str = "seq") -> list[str]:
+    """The ``beam`` best words that single-letter changes lead to, round after round, best first."""
+    best = score_words(df, start, bg, seq)
+    for _ in range(rounds):
+        top = sorted(best, key=lambda w: (-best[w], w))[:beam]
+        new = sorted({w[:i] + c + w[i + 1 :] for w in top for i in range(len(w)) for c in DNA.core} - set(best))
+        if not new:
+            break
+        best |= score_words(df, new, bg, seq)
+        if sorted(best, key=lambda w: (-best[w], w))[:beam] == top:
+            break
+    return sorted(best, key=lambda w: (-best[w], w))[:beam]
+
+
 def smooth(z: np.ndarray, w: int) -> np.ndarray:
     """Posteriors in which no ``w`` overlapping windows sum to more than 1: the largest of a window stays, others shrink."""
     z = z.copy()
@@ -136,13 +169,16 @@ def erase(df: DataFrame, m: Model, kind: str, seq: str = "seq", weights: str = "
     return df.mapInPandas(run, f"{fields}, {weights} array<double>")
 
 
-def discover(df: DataFrame, width: int, kind: str = "zoops", motifs: int = 1, n_seeds: int = 3, seq: str = "seq", bg: np.ndarray | None = None) -> list[Motif]:
-    """``motifs`` motifs, each the most likely outcome of EM from several seeds; sites are erased before the next. Erased
+def discover(df: DataFrame, width: int, kind: str = "zoops", motifs: int = 1, n_seeds: int = 3, seq: str = "seq", bg: np.ndarray | None = None, branching: int = 0) -> list[Motif]:
+    """``motifs`` motifs, each the most likely outcome of EM from several seeds, improved by ``branching`` rounds of changes; sites are erased before the next. Erased
     sequences are checkpointed, so that steps don't run again."""
     bg = np.full(4, 0.25) if bg is None else bg
     out, weights = [], None
     for k in range(motifs):
-        starts = [Model(seed_theta(s), bg, 0.5) for s in seeds(df, width, n_seeds, seq)]
+        words_ = seeds(df, width, n_seeds, seq)
+        if branching and words_:
+            words_ = branch(df, words_, bg, branching, n_seeds, seq)
+        starts = [Model(seed_theta(s), bg, 0.5) for s in words_]
         first = sorted((run_em(df, s, kind, seq, iterations=2, weights=weights) for s in starts), key=lambda m: -m.loglik)
         if not first:
             break

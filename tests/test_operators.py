@@ -59,6 +59,7 @@ def test_em_recovers_planted_motif(spark):
     df = spark.createDataFrame(seqs, "seq_name string, seq string")
     assert em.discover(df, 6, "zoops")[0].consensus() == "TGACTC"
     assert em.discover(df, 6, "anr")[0].consensus() == "TGACTC"
+    assert em.branch(df, ["TGAATC"], np.full(4, 0.25))[0] == "TGACTC"
     control = spark.createDataFrame([(str(i), "".join(rng.choice(list("ACGT"), 60))) for i in range(60)], "seq_name string, seq string")
     found = regex.discover(df, control, "seq_name", k=5)[0]
     assert found.consensus() in ("TGACT", "GACTC", "GAGTC", "AGTCA")
