@@ -169,3 +169,19 @@ def test_keep_first_equals_going_through_in_order(spark):
             kept.append(i)
     got = redundancy.keep_first(spark.range(40), spark.createDataFrame(sorted(pairs), "a long, b long"), "id")
     assert sorted(r["id"] for r in got.collect()) == kept
+
+
+def test_workflow_hits_are_of_whole_sequences(spark):
+    import numpy as np
+
+    from strandlake.operators import workflow
+
+    rng = np.random.default_rng(5)
+    make = lambda site: "".join((x := rng.choice(list("ACGT"), 300))[:20]) + site + "".join(x[26:147]) + site + "".join(x[153:])
+    pos = spark.createDataFrame([(str(i), make("TTGACA")) for i in range(30)], "seq_name string, seq string")
+    neg = spark.createDataFrame([(str(i), "".join(rng.choice(list("ACGT"), 300))) for i in range(30)], "seq_name string, seq string")
+    hits = workflow.analyse(pos, neg, [])["hits"].collect()
+    first = {r["motif_id"]: 0 for r in hits}
+    for r in hits:
+        first[r["motif_id"]] += 19 <= r["start"] <= 23
+    assert max(first.values()) >= 30 and max(r["stop"] for r in hits) > 250
