@@ -4,7 +4,8 @@ Each source's documents, in an order fixed by a hash of their ids, form blocks o
 with ``w`` of ``SLOTS`` shares is released at slot floor(i SLOTS / w) and due by ceil((i + 1) SLOTS / w). In every slot the
 released block that is due first runs (earliest deadline first), so at any time each source is less than one block from
 its target. As shares add up to SLOTS the schedule repeats after SLOTS slots: one period, worked out by an expression over a
-single row, places every block.
+single row, places every block. Where sources are more than SLOTS, a period has EACH slots for each of them, and a heap on the
+driver, which then holds a row for each source, works it out.
 
 Native: built-in expressions, windows and joins. Running sums go through three levels (hash prefixes of two lengths, then
 the rows of a prefix), so that no task sorts a source.
@@ -12,6 +13,7 @@ the rows of a prefix), so that no task sorts a source.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import table, text_or_empty
 
 SLOTS, BLOCK = 1000, 10_000
+#: Slots to a source, where there are more than SLOTS sources.
+EACH = 4
 #: Target weights are the sources' amounts to this power, unless given.
 TEMPER = 0.7
 #: Rows to a hash prefix, about.
@@ -32,7 +36,7 @@ def amounts(df: DataFrame, source: str, amount: Column) -> DataFrame:
 
 def shares(totals: DataFrame, temper: float = TEMPER, slots: int = SLOTS) -> DataFrame:
     """(source, total, w): whole shares of ``slots`` by tempered amounts; what rounding down leaves goes to the largest
-    remainders. Every source has one share at least; there may be at most ``slots`` sources with an amount."""
+    remainders. Every source has one share at least; there may be at most ``slots`` sources with an amount (``mix`` sees to it)."""
     every = Window.partitionBy(F.lit(0))
     weight = F.pow(F.col("total").cast("double"), F.lit(temper))
     raw = totals.where("total > 0").withColumn("exact", F.round(weight * (slots - F.count("*").over(every)) / F.sum(weight).over(every), 9))
@@ -43,8 +47,14 @@ def shares(totals: DataFrame, temper: float = TEMPER, slots: int = SLOTS) -> Dat
 
 def given_shares(totals: DataFrame, weights: dict[str, float], slots: int = SLOTS) -> DataFrame:
     """As ``shares``, for stated weights; sources without one have no place in the mix."""
-    whole = sum(weights.values())
+    whole = sum(w for w in weights.values() if w > 0)
     low = {s: max(1, int(slots * w / whole)) for s, w in weights.items() if w > 0}
+    largest = [(-n, s) for s, n in low.items()]
+    heapq.heapify(largest)
+    for _ in range(sum(low.values()) - slots):  # least shares of one have made too many
+        n, s = heapq.heappop(largest)
+        low[s] -= 1
+        heapq.heappush(largest, (n + 1, s))
     for s in sorted(low, key=lambda s: -(slots * weights[s] / whole % 1))[: slots - sum(low.values())]:
         low[s] += 1
     pairs = F.create_map(*[F.lit(x) for kv in low.items() for x in kv]) if low else F.lit(None).cast("map<string,int>")
@@ -67,6 +77,20 @@ def period(shared: DataFrame, slots: int = SLOTS) -> DataFrame:
     return slotted.select(F.get("s", F.col("x.i"))["__source"].alias("__source"), F.col("x.k").alias("k"), F.col("slot").cast("bigint").alias("slot"))
 
 
+def schedule(shares: list[int], slots: int) -> list[tuple[int, int, int]]:
+    """(i, k, slot) as ``period`` has them, for shares listed by name."""
+    ready, waiting, out = [], [(0, i, 0) for i in range(len(shares))], []
+    for t in range(slots):
+        while waiting and waiting[0][0] <= t:
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * slots // shares[i]), i, k))
+        if ready:
+            _, i, k = heapq.heappop(ready)
+            out.append((i, k, t))
+            heapq.heappush(waiting, ((k + 1) * slots // shares[i], i, k + 1))
+    return out
+
+
 def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", text: str = "text", temper: float = TEMPER, slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
     """Adds mix_slot (place in the mix; documents of one slot follow by hash), mix_block (of the source) and in_mix:
     whether the place lies before the first at which some source has run out, up to which the mix has its target
@@ -78,8 +102,16 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     df = df.drop("mix_slot", "mix_block", "in_mix")
     size = F.greatest(F.length(text_or_empty(text)), F.lit(1)).cast("bigint")
     totals = amounts(df, source, size)
+    held = df.groupBy(F.coalesce(F.col(source), F.lit("")).alias("__source")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("sources")).first()
+    sources = held["sources"] if weights is None else sum(w > 0 for w in weights.values())
+    many = sources > slots
+    slots = EACH * sources if many else slots
     shared = given_shares(totals, weights, slots) if weights is not None else shares(totals, temper, slots)
-    digits = max(2, math.ceil(math.log(max(1, df.count()) / FINE, 16) + 1))
+    if many:
+        named = sorted(tuple(r) for r in shared.select("__source", "total", "w").collect())  # a row for each source
+        shared = df.sparkSession.createDataFrame(named, "__source string, total bigint, w bigint")
+        times = df.sparkSession.createDataFrame([(named[i][0], k, t) for i, k, t in schedule([w for _, _, w in named], slots)], "__source string, k bigint, slot bigint")
+    digits = max(2, math.ceil(math.log(max(1, held["n"] or 0) / FINE, 16) + 1))
     coarse = digits // 2
     rows = df.withColumns({"__source": F.coalesce(F.col(source), F.lit("")), "__size": size, "__hash": F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))})
     rows = rows.withColumn("__fine", F.substring("__hash", 1, digits))
@@ -91,9 +123,9 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     own = Window.partitionBy("__source", "__fine").orderBy("__hash", key, text).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(base, ["__source", "__fine"]).withColumn("mix_block", F.floor((F.col("__base") + F.coalesce(F.sum("__size").over(own), F.lit(0))) / block))
     ends = shared.withColumn("ends", F.min(F.floor(F.col("total") * slots / (F.col("w") * block))).over(Window.partitionBy(F.lit(0))))
-    places = period(shared, slots).join(ends.select("__source", "w", "ends"), "__source")  # ``slots`` rows, whatever the input
+    places = (times if many else period(shared, slots)).join(ends.select("__source", "w", "ends"), "__source")  # ``slots`` rows
     places = F.broadcast(places.select(*[F.col(c).alias(f"__{c.strip('_')}_of") for c in ("__source", "k", "slot", "w", "ends")]))
-    weight = F.broadcast(shared.select("__source", F.col("w").alias("__w")))  # a row for each source, at most ``slots``
+    weight = F.broadcast(shared.select("__source", F.col("w").alias("__w")))  # a row for each source
     rows = rows.join(weight, "__source", "left")
     rows = rows.join(places, (F.col("__source") == F.col("__source_of")) & (F.col("mix_block") % F.col("__w") == F.col("__k_of")), "left")
     slot = F.floor(F.col("mix_block") / F.col("__w_of")) * slots + F.col("__slot_of")

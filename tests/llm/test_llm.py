@@ -278,6 +278,26 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(frame(spark, empty=True)).count() == 0
 
 
+def test_mixing_of_more_sources_than_slots(spark):
+    rows = [(i, "x" * (90 if i % 1300 == 7 else 10), f"s{i % 1300}") for i in range(3900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for weights in (None, {f"s{i}": 500.0 if i == 7 else 1.0 for i in range(1300)}):
+        out = mixing.mix(df, weights, block=10).collect()
+        assert len(out) == 3900 and all(r["mix_slot"] is not None for r in out)
+        slots = {(r["source"], r["mix_block"]): r["mix_slot"] for r in out}
+        assert len(set(slots.values())) == len(slots) and max(slots.values()) < 5200 * 27
+        assert {s for s, _ in slots} == {f"s{i}" for i in range(1300)}
+    crowded = mixing.mix(df.where("doc_id < 30"), {f"s{i}": 1000.0 if i == 7 else 1.0 for i in range(30)}, block=10, slots=30).collect()
+    assert len(crowded) == 30 and all(r["mix_slot"] is not None for r in crowded)
+
+
+def test_schedule_equals_period(spark):
+    shares = [("a", 3), ("b", 17), ("c", 1), ("d", 40), ("e", 39)]
+    df = spark.createDataFrame(shares, "__source string, w bigint")
+    want = sorted((ord(r["__source"]) - 97, r["k"], r["slot"]) for r in mixing.period(df, 100).collect())
+    assert sorted(mixing.schedule([w for _, w in shares], 100)) == want and len(want) == 100
+
+
 # 8 language ------------------------------------------------------------------------------------------------------------
 
 
