@@ -102,11 +102,13 @@ def spacing_histogram(found: DataFrame, width: int = 1) -> DataFrame:
     return q.select(F.explode(table[F.col("quadrant")]).alias("orientation"), "bin", "n").groupBy("orientation", "bin").agg(F.sum("n").alias("n"))
 
 
-def spacing_pvalues(hist: DataFrame, total: int, margin: int, width: int, bin_size: int = 1) -> DataFrame:
-    """Adds pvalue: the binomial tail of a bin's count, with the orientation's share of the places."""
+def spacing_pvalues(hist: DataFrame, margin: int, width: int, bin_size: int = 1) -> DataFrame:
+    """Adds pvalue: the binomial tail of a bin's count among all spacings of ``hist``, with the orientation's share of the
+    places."""
+    total = F.sum(F.when(F.col("orientation") == "any", F.col("n"))).over(Window.partitionBy(F.lit(0)))  # a row for each bin and orientation
     table = F.create_map(*[x for o, qs in ORIENTATIONS for x in (F.lit(o), F.lit(float(len(qs))))])
     share = table[F.col("orientation")] * bin_size / (4.0 * max(1, margin - width + 1))
-    return hist.withColumn("pvalue", F.exp(log_binomial_udf("n", F.lit(total), F.least(share, F.lit(1.0)))))
+    return hist.withColumn("__total", total).withColumn("pvalue", F.exp(log_binomial_udf("n", "__total", F.least(share, F.lit(1.0))))).drop("__total")
 
 
 def redundant(a: set[str], b: set[str], joint: float = 0.5) -> bool:

@@ -190,7 +190,7 @@ def spacing_orientations(t):
 def spacing_pvalues(t):
     h = hits(t)
     s = E.spacings(h.where("motif_id = 'M1'"), h.where("motif_id = 'M2'"), 150)
-    return E.spacing_pvalues(E.spacing_histogram(s, 10), 1000, 150, 6, 10)
+    return E.spacing_pvalues(E.spacing_histogram(s, 10), 150, 6, 10)
 
 
 @query("SELECT e.event_id, coalesce((SELECT o.value FROM events o WHERE o.user_id = e.user_id AND o.event_type = 'purchase' AND o.ts <= e.ts ORDER BY o.ts DESC LIMIT 1), -1.0) AS value FROM events e WHERE e.event_type = 'click'")

@@ -185,3 +185,12 @@ def test_workflow_hits_are_of_whole_sequences(spark):
     for r in hits:
         first[r["motif_id"]] += 19 <= r["start"] <= 23
     assert max(first.values()) >= 30 and max(r["stop"] for r in hits) > 250
+
+
+def test_spacing_pvalues_count_the_spacings(spark):
+    from strandlake.operators import enrich
+
+    found = spark.createDataFrame([(i % 150, i % 4) for i in range(6000)], "gap int, quadrant int")
+    got = {(r["orientation"], r["bin"]): (r["n"], r["pvalue"]) for r in enrich.spacing_pvalues(enrich.spacing_histogram(found, 10), 150, 1, 10).collect()}
+    assert all(n == 400 and 0.4 < p < 0.6 for (o, _), (n, p) in got.items() if o == "any") and len(got) == 9 * 15
+    assert all(0.2 < p < 0.8 for _, p in got.values())
