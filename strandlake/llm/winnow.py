@@ -13,9 +13,9 @@ from strandlake.llm.common import table, text_or_empty
 
 #: Scripts written without spaces give a token a character; long runs are cut, so that no text is a single token.
 TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[\p{L}\p{M}\p{N}]{1,16}"
-#: Texts of fewer tokens than FEW (and those without letter or digit) give a token a character instead.
-ANY, FEW = r"\S", 16
 K, WINDOW = 4, 6
+#: Texts of fewer tokens than FEW, too few for a gram of words, give a token a character instead.
+ANY, FEW = r"\S", K
 #: A key is 32 bits of hash above 31 bits of position counted from the end, so the least key is the rightmost minimum.
 LAST = 2**31 - 1
 #: Ids to a bucket within which neighbours are found by sorting.

@@ -337,6 +337,14 @@ def test_fingerprint_keeps_rightmost_minima_and_guarantee(spark):
     assert {x >> 31 for x in a} & {x >> 31 for x in b}
 
 
+def test_fingerprints_of_short_and_long_texts_share_hashes(spark):
+    words = PROSE[3].split()
+    texts = [" ".join(words[:15]), " ".join(words[:16]), " ".join(words[:9]), f"{PROSE[4]} {' '.join(words[:9])} {PROSE[5]}"]
+    df = winnow.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "text", "fp")
+    fp = {r["doc_id"]: {x >> 31 for x in r["fp"]} for r in df.collect()}
+    assert len(fp[0] & fp[1]) >= 0.5 * len(fp[0] | fp[1]) and fp[2] & fp[3]
+
+
 def test_next_documents(spark, tmp_path):
     ids = [5, 7, 300, 301, 900, 70000, 70001, 9_000_000, -4]
     df = spark.createDataFrame([(i, f"text of {i} " * 3) for i in ids], "doc_id bigint, text string")
