@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import materialize, table
+from strandlake.llm.common import materialize, table, text_or_empty
 from strandlake.llm.shingles import ODD, mix, shingle_sets
 
 ROWS, BANDS = 4, 20
@@ -77,8 +77,10 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sign(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row for each row: ``key``, row (a number of its own), same (hash of the word sequence), bands, cells."""
+def sign(df: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """A row for each row: ``key``, the string columns ``carry``, row (a number of its own), same (hash of the word
+    sequence), bands, cells."""
+    carry = carry or []
 
     def run(frames):
         part, at = TaskContext.get().partitionId(), 0
@@ -92,6 +94,7 @@ def sign(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                 sets = np.split(cells, ends[:-1])
                 yield pd.DataFrame({
                     key: some[key].to_numpy(),
+                    **{c: some[c].to_numpy() for c in carry},
                     "row": (part << 40) + at + np.arange(len(texts)),
                     "same": [k.tobytes() for k in keys],
                     "bands": [b if len(c) else b[:0] for b, c in zip(bands, sets, strict=True)],
@@ -100,7 +103,7 @@ def sign(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                 at += len(texts)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, row bigint, same binary, bands array<bigint>, cells binary")
+    return df.select(key, text, *carry).mapInPandas(run, f"`{key}` {kind}, {''.join(f'`{c}` string, ' for c in carry)}row bigint, same binary, bands array<bigint>, cells binary")
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -185,14 +188,14 @@ def components(edges: DataFrame) -> DataFrame:
     return materialize(out, "labels")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row for each row of ``df``: ``key``, class_id (least ``key`` of the class), class_rows, and keep, true for one
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """A row for each row of ``df``: ``key``, the string columns ``carry``, class_id (least ``key`` of the class), class_rows, and keep, true for one
     row of each class. Classes are the components of links: equal word sequences, or weighted Jaccard likeness of five-word
     shingles of 0.8 or more.
 
     Null texts count as empty; texts without a word form one class, as equal texts do. Rows with a null key take part (a
     class of them alone has a null class_id); repeated rows are rows of their own."""
-    signed = materialize(sign(df, text, key), "signed")
+    signed = materialize(sign(df, text, key, carry), "signed")
     same = materialize(signed.groupBy("same").agg(F.min("row").alias("node"), F.count("*").alias("copies")), "same")
     one = signed.select("row", "bands").join(same.select(F.col("node").alias("row"), "copies"), "row")
     rows = one.select(F.explode("bands").alias("band"), F.struct("copies", F.col("row").alias("node")).alias("who"))
@@ -209,10 +212,10 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     more = materialize(_blocks(field.unionByName(beyond), labels, sets), "more")
     if more.limit(1).count():
         labels = components(more.unionByName(pair(labels)))
-    named = signed.select(key, "row", "same").join(same.select("same", "node"), "same")
+    named = signed.select(key, *(carry or []), "row", "same").join(same.select("same", "node"), "same")
     named = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = named.groupBy("comp").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key), "row")).alias("first"), F.count("*").alias("class_rows"))
-    return named.join(first, "comp").select(key, F.col(f"first.{key}").alias("class_id"), "class_rows", (F.col("row") == F.col("first.row")).alias("keep"))
+    return named.join(first, "comp").select(key, *(carry or []), F.col(f"first.{key}").alias("class_id"), "class_rows", (F.col("row") == F.col("first.row")).alias("keep"))
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
@@ -220,9 +223,10 @@ def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` of which ``keep`` holds, columns as they were. Of rows that share a key, the first by text stays.
-    Rows with a null key can't be named by a class; they all stay."""
-    kept = near_duplicates(df.select(key, text), text, key).where("keep").select(key).distinct()
-    named = df.where(F.col(key).isNotNull()).join(kept, key, "left_semi")
-    named = named.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(F.length(text), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))).where("__rn = 1").drop("__rn")
-    return named.unionByName(df.where(F.col(key).isNull()))
+    """The rows of ``df`` of which ``keep`` holds, one for each class, columns as they were. Rows are told apart by key
+    and text; of rows equal in both, one stays."""
+    rows = df.withColumn("__digest", F.md5(text_or_empty(text).cast("binary")))
+    kept = near_duplicates(rows.select(key, text, "__digest"), text, key, ["__digest"]).where("keep").select(F.col(key).alias("__kept"), F.col("__digest").alias("__of"))
+    named = rows.join(kept, F.col(key).eqNullSafe(F.col("__kept")) & (F.col("__digest") == F.col("__of")), "left_semi")
+    one = Window.partitionBy(key, "__digest").orderBy(F.col(text).isNull())
+    return named.withColumn("__rn", F.row_number().over(one)).where("__rn = 1").select(*df.columns)

@@ -161,6 +161,12 @@ def test_near_duplicates_odd_rows(spark):
     assert dartminhash.near_duplicates(frame(spark, empty=True)).count() == 0
 
 
+def test_deduplicate_tells_rows_of_one_key_apart(spark):
+    rows = [(1, PROSE[0]), (2, PROSE[0]), (2, PROSE[1] + " long"), (2, PROSE[2]), (None, PROSE[3]), (None, PROSE[3]), (None, PROSE[0]), (None, PROSE[4]), (5, None), (5, "")]
+    kept = dartminhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(1, PROSE[0]), (2, PROSE[1] + " long"), (2, PROSE[2]), (0, PROSE[3]), (0, PROSE[4]), (5, "")])
+
+
 def test_dart_signatures_estimate_likeness():
     from strandlake.llm.shingles import shingle_sets
 
