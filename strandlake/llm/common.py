@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandlake.session import ship
 
@@ -18,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, local mode), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and the master is local, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = spark.conf.get("strandlake.checkpoint.dir", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="strandlake-")
@@ -36,7 +42,57 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandlake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*written: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for these frames, once nothing will read them any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of text that an operator in Python takes up at once (one longer text is taken up alone).
+TAKE = 8 << 20
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+
+
+def portions(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of about TAKE bytes of ``text``."""
+    if batch.num_rows:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cut = [0, *(np.flatnonzero(np.diff(ends // TAKE)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cut, cut[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def expand_texts(df: DataFrame, text: str, keep: list[str], add: dict[str, str], make: Callable) -> DataFrame:
+    """Rows made from the texts of ``df``: columns ``keep`` as they stand in Arrow (so that 64-bit numbers beside nulls, decimals
+    and nested values stay exact), then columns ``add`` (name -> type, as in ARROW).
+
+    ``make`` takes the texts of a portion, None for null, and the number of the portion's first row in its partition;
+    it returns the columns of ``add``, or a pair of these and, for each new row, the place of the row it comes from."""
+    fields = [df.schema[k] for k in keep]
+    schema = StructType(fields + [StructType.fromDDL(f"`{name}` {kind}")[0] for name, kind in add.items()])
+
+    def run(batches):
+        at = 0
+        for whole in batches:
+            for batch in portions(whole, text):
+                made = make(batch.column(text).to_pylist(), at)
+                values, rows = made if isinstance(made, tuple) else (made, None)
+                kept = [batch.column(k) for k in keep]
+                if rows is not None:
+                    kept = [c.take(pa.array(rows, pa.int64())) for c in kept]
+                new = [pa.array(v, ARROW[kind]) for v, kind in zip(values, add.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept, *new], names=[*keep, *add])
+                at += batch.num_rows
+
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
 def text_or_empty(col: str | Column = "text") -> Column:

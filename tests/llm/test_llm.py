@@ -43,6 +43,50 @@ def test_main_text():
     assert len(mincut.main_text("<article>" + "<p>Some words here.</p>" * 3000)) == 3000 * 17 - 1
 
 
+PRIOR = np.array(list(mincut.PRIOR.values()))
+
+
+def test_cut_overrules_the_score_both_ways():
+    page = "".join(f"<p>This is sentence number {i} of the page, and it has a plain ending.</p><p>ab</p>" for i in range(50))
+    menu = "<ul><li><a href=1>Home</a></li><li><a href=2>About us</a></li><li>News of the day.</li><li><a href=3>Contact</a></li><li><a href=4>Jobs</a></li></ul>"
+    advert = "<article><p>One line of the story that is told.</p></article><div class=ad><p>Buy our wonderful things now, they are cheaper than ever, and you will like them.</p></div>"
+    for text, overruled, want in ((page, "ab", True), (menu, "News of the day.", False), (advert, "Buy our wonderful things now, they are cheaper than ever, and you will like them.", False)):
+        found = mincut.blocks(text)
+        scores, joined = mincut.graph(found, PRIOR)
+        side = mincut.cut(scores, joined)
+        at = [i for i, b in enumerate(found) if b.text == overruled]
+        assert at and all((scores[i] > 0) != want and side[i] == want for i in at[: len(at) - (overruled == "ab")])
+
+
+def test_nothing_is_lost_beside_an_article_or_after_unclosed_elements():
+    page = "".join(f"<p>This is sentence number {i} of a long page, and it has its plain ending here.</p><p>ab</p>" for i in range(2000))
+    whole = mincut.main_text(page)
+    assert whole.count("sentence number") == 2000 and whole.count(" ab") >= 1999
+    assert mincut.main_text("<article><p>One sentence only, in the article.</p></article>" + page).count("sentence number") == 2000
+    assert mincut.main_text("<p>a video <video src=x> and then the rest of it.</p><p>More text follows here.</p>") == "a video and then the rest of it. More text follows here."
+    assert mincut.main_text('<article><p>Lead one two three.</p><div class="alert-story comment-on-policy"><p>What the policy says on comments.</p></div></article>').endswith("on comments.")
+    assert mincut.main_text("<article><p>Kept as it is.</p><script>var x = 1;</article>") == "Kept as it is."
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    line = "This is a full sentence of about seventy-six characters with some more words. "
+    mixed = "".join(f"<p>{line * 2 if i % 2 else 'x y'}</p><div><a href=x>link {i}</a></div>" for i in range(3500))
+    for page in (mixed, "<div>" * 4000 + line + "</div>" * 4000 + "<p>more</p>", "<div><p>a b c</p>" * 4000, "<video>text " * 20000):
+        start = time.process_time()
+        mincut.main_text(page)
+        assert time.process_time() - start < 2
+
+
+def test_weights_are_learned_from_marked_pages(spark):
+    rows = [(2**60 + i, f"<nav><a href=x>Go {i}</a></nav><article><p>{'This is the text of it, which goes on. ' * 4}</p></article><div class=ad>Buy</div>") for i in range(40)]
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (7, None)], "page_id bigint, html string")
+    w = mincut.fit(df)
+    assert w.shape == PRIOR.shape and np.abs(w - PRIOR).max() > 0.05 and np.allclose(w, mincut.fit(df.repartition(3)))
+    assert (mincut.fit(df.where("page_id < 0")) == PRIOR).all() and (mincut.learn([]) == PRIOR).all()
+
+
 def test_minimum_cut_against_enumeration():
     rng = np.random.default_rng(3)
     for _ in range(40):
