@@ -60,30 +60,32 @@ TAKE = 8 << 20
 ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
 
-def portions(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` of about TAKE bytes of ``text``."""
+def portions(batch: pa.RecordBatch, texts: list[str]) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of about TAKE bytes of ``texts``."""
     if batch.num_rows:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(t)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts))
         cut = [0, *(np.flatnonzero(np.diff(ends // TAKE)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cut, cut[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
 
 
-def expand_texts(df: DataFrame, text: str, keep: list[str], add: dict[str, str], make: Callable) -> DataFrame:
+def expand_texts(df: DataFrame, text: str | list[str], keep: list[str], add: dict[str, str], make: Callable) -> DataFrame:
     """Rows made from the texts of ``df``: columns ``keep`` as they stand in Arrow (so that 64-bit numbers beside nulls, decimals
     and nested values stay exact), then columns ``add`` (name -> type, as in ARROW).
 
-    ``make`` takes the texts of a portion, None for null, and the number of the portion's first row in its partition;
-    it returns the columns of ``add``, or a pair of these and, for each new row, the place of the row it comes from."""
+    ``make`` takes the texts of a portion, None for null (a list for each column of ``text``), and the number of the portion's
+    first row in its partition; it returns a list of the columns of ``add``, or a pair of this list and, for each new row,
+    the place of the row it comes from."""
+    texts = [text] if isinstance(text, str) else text
     fields = [df.schema[k] for k in keep]
     schema = StructType(fields + [StructType.fromDDL(f"`{name}` {kind}")[0] for name, kind in add.items()])
 
     def run(batches):
         at = 0
         for whole in batches:
-            for batch in portions(whole, text):
-                made = make(batch.column(text).to_pylist(), at)
+            for batch in portions(whole, texts):
+                made = make(*[batch.column(t).to_pylist() for t in texts], at)
                 values, rows = made if isinstance(made, tuple) else (made, None)
                 kept = [batch.column(k) for k in keep]
                 if rows is not None:
@@ -92,7 +94,7 @@ def expand_texts(df: DataFrame, text: str, keep: list[str], add: dict[str, str],
                 yield pa.RecordBatch.from_arrays([*kept, *new], names=[*keep, *add])
                 at += batch.num_rows
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, *texts])).mapInArrow(run, schema)
 
 
 def text_or_empty(col: str | Column = "text") -> Column:

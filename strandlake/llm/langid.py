@@ -11,16 +11,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_sample, fold_of, table
+from strandlake.llm.common import bounded_sample, expand_texts, fold_of, table
 from strandlake.llm.textvec import codes, letters, slices
 
 BUCKETS = 1 << 16
 DIM = 16
-#: Bound of the labelled rows that are learned from, and of the passages of PASSAGE characters cut from them.
+#: Bounds of the labelled rows that are learned from, and of the passages of PASSAGE characters cut from them.
 SAMPLE_ROWS, PASSAGES, PASSAGE = 4_000, 10_000, 160
 UNKNOWN = "und"
 #: Share of rightly predicted calibration rows whose confidence lies below the rejection level.
@@ -83,17 +82,12 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], *, rate: float = 1.0, epochs: int = 2, batch: int = 32, seed: int = 0) -> Model:
-    """Learns from whole texts cut into passages; a sixth of the texts is held back for the temperature and the level.
-    Nothing to learn from: a model without languages, which answers UNKNOWN."""
-    langs = sorted(set(labels))
+def learn(cut: list[tuple[str, str]], *, rate: float = 1.0, epochs: int = 2, batch: int = 32, seed: int = 0) -> Model:
+    """Learns from (passage, language). Nothing to learn from: a model without languages, which answers UNKNOWN."""
+    langs = sorted({lang for _, lang in cut})
     if not langs:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32))
     y_of, rng = {lang: i for i, lang in enumerate(langs)}, np.random.default_rng(seed)
-    held = np.arange(len(texts)) % 6 == 5
-    cut = [(t[s : s + PASSAGE], y_of[lab]) for t, lab, h in zip(texts, labels, held, strict=True) if not h for s in range(0, len(t), PASSAGE)]
-    if len(cut) > PASSAGES:
-        cut = [cut[i] for i in rng.choice(len(cut), PASSAGES, replace=False)]
     emb = rng.uniform(-1, 1, (BUCKETS + 1, DIM)).astype(np.float32) / DIM
     emb[BUCKETS] = 0
     out = np.zeros((DIM, len(langs)), np.float32)
@@ -111,32 +105,61 @@ def train(texts: list[str], labels: list[str], *, rate: float = 1.0, epochs: int
             if not some:
                 continue
             mean = np.add.reduceat(emb[ids], np.cumsum([0, *n[:-1]]), axis=0) / n[:, None]
-            g = softmax(mean @ out) - np.eye(len(langs))[[y for _, y in some]]
+            g = softmax(mean @ out) - np.eye(len(langs))[[y_of[y] for _, y in some]]
             lr = rate * (1 - step / steps)
             down = (lr * g @ out.T).astype(np.float32)
             out -= (lr * mean.T @ g).astype(np.float32)
             np.add.at(emb, ids, -np.repeat(down / n[:, None].astype(np.float32), n, axis=0))
             step += 1
-    model = Model(langs, (emb @ out).astype(np.float32))
-    kept = [(t, y_of[lab]) for t, lab, h in zip(texts, labels, held, strict=True) if h]
-    if kept:
-        logits, known = model.logits([t for t, _ in kept])
-        y = np.array([y for _, y in kept])
+    return Model(langs, (emb @ out).astype(np.float32))
+
+
+def calibrate(model: Model, logits: np.ndarray, labels: list[str]) -> Model:
+    """Sets temperature and rejection level from the logits of whole texts that weren't learned from; labels that the model
+    doesn't know are passed over."""
+    at = {lang: i for i, lang in enumerate(model.langs)}
+    known = np.array([lab in at for lab in labels], bool)
+    if known.any():
+        logits, y = logits[known], np.array([at[lab] for lab in labels if lab in at])
         grid = np.geomspace(0.05, 20, 60)
-        loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12))[known].sum() for t in grid]
+        loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).sum() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
         p = softmax(logits / model.temperature)
-        right = p.max(axis=1)[known & (p.argmax(axis=1) == y)]
-        chance = 1 / len(langs)
+        right = p.max(axis=1)[p.argmax(axis=1) == y]
+        chance = 1 / len(model.langs)
         model.level = min(float(np.quantile(right, REJECT)) if len(right) else 0.0, chance + MOST * (1 - chance))
     return model
 
 
-def fit(docs: DataFrame, *, folds: int = 4, held_out: int = 2, limit: int = SAMPLE_ROWS) -> Model:
-    """A model of the rows with text and lang whose fold isn't ``held_out``: at most ``limit`` of them, by hash of the id."""
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
-    some = bounded_sample(rows.select("doc_id", "text", "lang"), "doc_id", limit).toPandas()
-    return train(some["text"].tolist(), some["lang"].tolist())
+def train(texts: list[str], labels: list[str], **how) -> Model:
+    """Learns from whole texts cut into passages; every sixth text is held back for the temperature and the level."""
+    rows = list(zip(texts, labels, strict=True))
+    model = learn([(t[s : s + PASSAGE], lab) for i, (t, lab) in enumerate(rows) if i % 6 != 5 for s in range(0, len(t), PASSAGE)], **how)
+    kept = [(t, lab) for t, lab in rows[5::6] if any(c.isalpha() for c in t)]
+    return calibrate(model, model.logits([t for t, _ in kept])[0], [lab for _, lab in kept]) if kept and model.langs else model
+
+
+def fit(docs: DataFrame, *, folds: int = 4, held_out: int = 2, limit: int = SAMPLE_ROWS, passages: int = PASSAGES) -> Model:
+    """A model of the rows with text, lang and doc_id whose fold isn't ``held_out``: of at most ``limit`` ids, by their hash, five
+    sixths give at most ``passages`` passages (by hash, over the whole texts) to learn from, the others calibrate. The driver gets
+    these passages, and of each calibrating text the logits alone."""
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out)).select("doc_id", "text", "lang")
+    ids = bounded_sample(rows.select("doc_id").distinct(), "doc_id", limit)  # ``limit`` ids
+    rows = rows.join(F.broadcast(ids), "doc_id")
+    back = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("back")), F.lit(6)) == 5
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(PASSAGE))
+    cut = rows.where(~back).select("doc_id", "lang", "text", F.explode(starts).alias("at")).select("lang", F.substr("text", F.col("at") + 1, F.lit(PASSAGE)).alias("t"), F.xxhash64("doc_id", "at", "text").alias("key"))
+    model = learn([(r["t"], r["lang"]) for r in bounded_sample(cut, "key", passages).collect()])
+    if not model.langs:
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # (BUCKETS + 1) rows x languages of float32
+
+    def weigh(texts, _):
+        logits, known = shared.value.logits(texts)
+        return [[v.tobytes() if k else None for v, k in zip(logits, known, strict=True)]]
+
+    kept = expand_texts(rows.where(back).dropDuplicates(["doc_id"]), "text", ["lang"], {"logits": "binary"}, weigh).where("logits is not null").collect()  # ``limit`` rows
+    return calibrate(model, np.array([np.frombuffer(r["logits"]) for r in kept]), [r["lang"] for r in kept]) if kept else model
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -144,17 +167,12 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     texts get UNKNOWN, 0 and False; other columns pass through, nulls included; repeated rows are answered alike."""
     df = df.drop("lang_pred", "lang_score", "lang_accepted")
     shared = df.sparkSession.sparkContext.broadcast(model)  # (BUCKETS + 1) rows x languages of float32, whatever the input
-
-    def score(frames):
-        for frame in frames:
-            lang, p, ok = shared.value.predict([t if isinstance(t, str) else None for t in frame[text]])
-            yield frame.assign(lang_pred=pd.Series(lang, index=frame.index, dtype=object), lang_score=p, lang_accepted=ok)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(score, f"{fields}, lang_pred string, lang_score double, lang_accepted boolean")
+    return expand_texts(df, text, df.columns, {"lang_pred": "string", "lang_score": "double", "lang_accepted": "boolean"}, lambda texts, _: list(shared.value.predict(texts)))
 
 
 def op8_language(spark, sf_dir: str) -> DataFrame:
+    """Language of every whole text, by a model of the rows that aren't held out. Null and letterless texts: und, score 0; the
+    columns are those of every row, null ids (never held out) and repeated ones included."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify(docs.select("doc_id", "text"), fit(docs))
-    return found.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
+    return found.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))

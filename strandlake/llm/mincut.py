@@ -396,7 +396,7 @@ def extract(df: DataFrame, page: str = "html", weights: np.ndarray | None = None
 
     def run(pages, _):
         text = [main_text(p, weights) for p in pages]
-        return text, [len(t) for t in text]
+        return [text, [len(t) for t in text]]
 
     return expand_texts(df, page, rest, {"text": "string", "n_chars": "bigint"}, run)
 

@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in an order fixed by a hash of their ids, form blocks of BLOCK characters; block i of a source
-with ``w`` of ``SLOTS`` shares is released at slot floor(i SLOTS / w) and due by ceil((i + 1) SLOTS / w). In every slot the
-released block that is due first runs (earliest deadline first), so at any time each source is less than one block from
-its target. As shares add up to SLOTS the schedule repeats after SLOTS slots: one period, worked out by an expression over a
-single row, places every block. Where sources are more than SLOTS, a period has EACH slots for each of them, and a heap on the
-driver, which then holds a row for each source, works it out.
+Each source's documents, in an order fixed by a hash, form blocks; block i of a source with ``w`` of ``SLOTS`` shares is
+released at slot floor(i SLOTS / w) and due by ceil((i + 1) SLOTS / w). In every slot the released block that is due first
+runs (earliest deadline first), so at any time each source is less than one block from its target. A block has BLOCK
+characters, or as many as the longest document if that is longer, so that no document spans blocks that lie between. As shares add
+up to SLOTS the schedule repeats after SLOTS slots: one period places every block. It is worked out by an expression over a
+single row or, for more than FOLD sources, by a heap on the driver, which then holds a row for each source; both say the same.
+Where sources are more than SLOTS, a period has EACH slots for each of them.
 
 Native: built-in expressions, windows and joins. Running sums go through three levels (hash prefixes of two lengths, then
 the rows of a prefix), so that no task sorts a source.
@@ -14,9 +15,10 @@ the rows of a prefix), so that no task sorts a source.
 from __future__ import annotations
 
 import heapq
+import json
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import table, text_or_empty
@@ -24,16 +26,16 @@ from strandlake.llm.common import table, text_or_empty
 SLOTS, BLOCK = 1000, 10_000
 #: Slots to a source, where there are more than SLOTS sources.
 EACH = 4
+#: Sources up to which an expression works the period out.
+FOLD = 64
+#: A source of less than a share of 1 / MINOR of the largest one's characters doesn't end the mix when it runs out.
+MINOR = 100
 #: Target weights are the sources' amounts to this power, unless given.
 TEMPER = 0.7
 #: Rows to a hash prefix, about.
 FINE = 4_000
 
 
-def amounts(df: DataFrame, source: str, amount: Column) -> DataFrame:
-    return df.groupBy(F.coalesce(F.col(source), F.lit("")).alias("__source")).agg(F.sum(amount).cast("bigint").alias("total"))
-
-
 def shares(totals: DataFrame, temper: float = TEMPER, slots: int = SLOTS) -> DataFrame:
     """(source, total, w): whole shares of ``slots`` by tempered amounts; what rounding down leaves goes to the largest
     remainders. Every source has one share at least; there may be at most ``slots`` sources with an amount (``mix`` sees to it)."""
@@ -91,39 +93,52 @@ def schedule(shares: list[int], slots: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as a literal of the plan."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows])), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ","))))
+
+
 def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", text: str = "text", temper: float = TEMPER, slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
-    """Adds mix_slot (place in the mix; documents of one slot follow by hash), mix_block (of the source) and in_mix:
-    whether the place lies before the first at which some source has run out, up to which the mix has its target
+    """Adds mix_slot (place in the mix; documents of one slot follow by hash), mix_block (of the source) and in_mix: whether
+    the place lies before the first at which a source of some size (see MINOR) has run out, up to which the mix has its target
     weights. Columns of these names are replaced; no row is lost.
 
-    A document counts its characters, one at least (null text: empty); one that spans blocks takes the place of its
-    first. Null sources are one source, named ''; null keys sort as ''. Sources without a weight get null and False.
-    Repeated rows tie and are told apart by text."""
-    df = df.drop("mix_slot", "mix_block", "in_mix")
+    A document counts its characters, one at least (null text: empty); one that spans two blocks takes the place of the first.
+    Null sources are one source, named ''. Sources without a weight get null and False. Documents follow by a hash of key and
+    text (nulls as ''), so rows without a key, or of one key, are spread by their text; rows that repeat tie, and which of them
+    comes first makes no difference."""
+    spark, df = df.sparkSession, df.drop("mix_slot", "mix_block", "in_mix")
     size = F.greatest(F.length(text_or_empty(text)), F.lit(1)).cast("bigint")
-    totals = amounts(df, source, size)
-    held = df.groupBy(F.coalesce(F.col(source), F.lit("")).alias("__source")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("sources")).first()
+    held = df.groupBy(F.coalesce(F.col(source), F.lit("")).alias("__source")).agg(F.count("*").alias("n"), F.sum(size).cast("bigint").alias("total"), F.max(size).alias("longest"))
+    totals = held.select("__source", "total")
+    held = held.agg(F.sum("n").alias("n"), F.count("*").alias("sources"), F.max("longest").alias("longest")).first()
+    block = max(block, held["longest"] or 0)
     sources = held["sources"] if weights is None else sum(w > 0 for w in weights.values())
-    many = sources > slots
-    slots = EACH * sources if many else slots
+    slots = EACH * sources if sources > slots else slots
     shared = given_shares(totals, weights, slots) if weights is not None else shares(totals, temper, slots)
-    if many:
+    if sources > FOLD:
         named = sorted(tuple(r) for r in shared.select("__source", "total", "w").collect())  # a row for each source
-        shared = df.sparkSession.createDataFrame(named, "__source string, total bigint, w bigint")
-        times = df.sparkSession.createDataFrame([(named[i][0], k, t) for i, k, t in schedule([w for _, _, w in named], slots)], "__source string, k bigint, slot bigint")
+        shared = _table(spark, named, "__source string, total bigint, w bigint")
+        times = _table(spark, [(named[i][0], k, t) for i, k, t in schedule([w for _, _, w in named], slots)], "__source string, k bigint, slot bigint")
+    else:
+        times = period(shared, slots)
     digits = max(2, math.ceil(math.log(max(1, held["n"] or 0) / FINE, 16) + 1))
     coarse = digits // 2
-    rows = df.withColumns({"__source": F.coalesce(F.col(source), F.lit("")), "__size": size, "__hash": F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))})
+    digest = F.md5(F.concat_ws(" ", F.coalesce(F.col(key).cast("string"), F.lit("")), text_or_empty(text)).cast("binary"))
+    rows = df.withColumns({"__source": F.coalesce(F.col(source), F.lit("")), "__size": size, "__hash": digest})
     rows = rows.withColumn("__fine", F.substring("__hash", 1, digits))
     fine = rows.groupBy("__source", "__fine").agg(F.sum("__size").alias("n")).withColumn("__coarse", F.substring("__fine", 1, coarse))
     ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     top = fine.groupBy("__source", "__coarse").agg(F.sum("n").alias("n")).select("__source", "__coarse", ahead(Window.partitionBy("__source").orderBy("__coarse")).alias("base"))
     base = fine.withColumn("more", ahead(Window.partitionBy("__source", "__coarse").orderBy("__fine"))).join(top, ["__source", "__coarse"])
     base = base.select("__source", "__fine", (F.col("base") + F.col("more")).alias("__base"))
-    own = Window.partitionBy("__source", "__fine").orderBy("__hash", key, text).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("__source", "__fine").orderBy("__hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(base, ["__source", "__fine"]).withColumn("mix_block", F.floor((F.col("__base") + F.coalesce(F.sum("__size").over(own), F.lit(0))) / block))
-    ends = shared.withColumn("ends", F.min(F.floor(F.col("total") * slots / (F.col("w") * block))).over(Window.partitionBy(F.lit(0))))
-    places = (times if many else period(shared, slots)).join(ends.select("__source", "w", "ends"), "__source")  # ``slots`` rows
+    every = Window.partitionBy(F.lit(0))
+    lasts = F.when(F.col("total") * MINOR >= F.max("total").over(every), F.floor(F.col("total") * slots / (F.col("w") * block)))
+    ends = shared.withColumn("ends", F.min(lasts).over(every))
+    places = times.join(ends.select("__source", "w", "ends"), "__source")  # ``slots`` rows
     places = F.broadcast(places.select(*[F.col(c).alias(f"__{c.strip('_')}_of") for c in ("__source", "k", "slot", "w", "ends")]))
     weight = F.broadcast(shared.select("__source", F.col("w").alias("__w")))  # a row for each source
     rows = rows.join(weight, "__source", "left")
@@ -133,12 +148,14 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
+    """Every document's place in the mix. Null ids, texts and sources have one too, as ``mix`` states."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "source", "mix_slot", "mix_block", "in_mix")
 
 
 OP7_SQL = f"""
-WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, '') AS s, greatest(length(coalesce(text, '')), 1) AS n, md5(coalesce(doc_id::VARCHAR, '')) AS h, text FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, '') AS s, greatest(length(coalesce(text, '')), 1) AS n, md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')) AS h FROM documents),
+blk AS (SELECT greatest({BLOCK}, max(n)) AS size FROM d),
 tot AS (SELECT s, sum(n)::BIGINT AS total FROM d GROUP BY s),
 raw AS (SELECT s, total, round(pow(total::DOUBLE, {TEMPER}) * ({SLOTS} - count(*) OVER ()) / sum(pow(total::DOUBLE, {TEMPER})) OVER (), 9) AS x FROM tot),
 sh AS (SELECT s, total, (floor(x) + 1 + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, s) <= {SLOTS} - sum(floor(x) + 1) OVER () THEN 1 ELSE 0 END)::BIGINT AS w FROM raw),
@@ -150,8 +167,8 @@ r(t, n, p) AS (
     SELECT t, n, list_aggregate(list_transform(w, lambda x, i: CASE WHEN n[i] * {SLOTS} < (t + 1) * x THEN ceil((n[i] + 1) * {SLOTS} / x)::BIGINT * 1000000 + i END), 'min') % 1000000 AS q
     FROM r, ws WHERE t < {SLOTS})),
 slots AS (SELECT names[p] AS s, t - 1 AS slot, row_number() OVER (PARTITION BY p ORDER BY t) - 1 AS k FROM r, ws WHERE p IS NOT NULL),
-b AS (SELECT *, floor(coalesce(sum(n) OVER (PARTITION BY s ORDER BY h, doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {BLOCK})::BIGINT AS mix_block FROM d),
-e AS (SELECT min(floor(total * {SLOTS} / (w * {BLOCK})))::BIGINT AS ends FROM sh)
+b AS (SELECT *, floor(coalesce(sum(n) OVER (PARTITION BY s ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / size)::BIGINT AS mix_block FROM d, blk),
+e AS (SELECT min(floor(total * {SLOTS} / (w * size)))::BIGINT AS ends FROM sh, blk WHERE total * {MINOR} >= (SELECT max(total) FROM sh))
 SELECT doc_id, source, (mix_block // w) * {SLOTS} + slot AS mix_slot, mix_block, (mix_block // w) * {SLOTS} + slot < ends AS in_mix
 FROM b JOIN sh USING (s) JOIN slots ON slots.s = b.s AND slots.k = b.mix_block % sh.w, e
 """

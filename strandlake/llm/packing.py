@@ -22,12 +22,13 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from strandlake.llm.common import materialize, table
+from strandlake.llm.common import expand_texts, materialize, table
 from strandlake.llm.tokens import encoder
 
 CAPACITY, END_ID = 4096, 1
@@ -163,27 +164,27 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
 
     Null and empty texts are the closing id alone; repeated rows are documents of their own."""
     cut = capacity * 4
-
-    def encode(frames):
-        seen: dict[int, int] = defaultdict(int)
-        part, enc = TaskContext.get().partitionId(), encoder(tokenizer)
-        for frame in frames:
-            for s in range(0, len(frame), 256):
-                some = frame.iloc[s : s + 256]
-                rows = []
-                for doc, raw in zip(some[key], enc.encode([t if isinstance(t, str) else None for t in some[text]]), strict=True):
-                    raw += END_ID.to_bytes(4, "little")
-                    for p, a in enumerate(range(0, len(raw), cut)):
-                        own = raw[a : a + cut]
-                        n = len(own) // 4
-                        rows.append((doc, p, a // 4, n, zlib.crc32(own), part, seen[n], own))
-                        seen[n] += 1
-                out = pd.DataFrame(rows, columns=[key, "piece", "start", "length", "ids_crc32", "part", "rank", "ids"])
-                out[key] = out[key].astype(object).where(out[key].notna(), None) if some[key].isna().any() else out[key]
-                yield out if ids else out.drop(columns="ids")
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(encode, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint" + ", ids binary" * ids)
+    ranks: dict[tuple[int, int], dict[int, int]] = {}  # of the task at work
+
+    def encode(texts, at):
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        if (part, attempt) not in ranks:
+            ranks.clear()
+            ranks[part, attempt] = defaultdict(int)
+        seen, rows, out = ranks[part, attempt], [], [[] for _ in range(7)]
+        for i, raw in enumerate(encoder(tokenizer).encode(texts)):
+            raw += END_ID.to_bytes(4, "little")
+            for p, a in enumerate(range(0, len(raw), cut)):
+                own = raw[a : a + cut]
+                n = len(own) // 4
+                rows.append(i)
+                for column, v in zip(out, (p, a // 4, n, zlib.crc32(own), part, seen[n], own if ids else b""), strict=True):
+                    column.append(v)
+                seen[n] += 1
+        return out[: 6 + ids], rows
+
+    add = {"piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "part": "int", "rank": "bigint"} | ({"ids": "binary"} if ids else {})
+    return expand_texts(df, text, [key], add, encode)
 
 
 def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
@@ -197,19 +198,20 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id",
     made = plan({r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}, capacity)  # at most ``capacity`` rows
     shared = df.sparkSession.sparkContext.broadcast({n: np.array(r, dtype=np.int64) for n, r in made.runs.items()})
 
-    def place(frames):
-        for frame in frames:
-            rank = frame["before"].to_numpy() + frame["rank"].to_numpy()
-            length = frame["length"].to_numpy()
-            seq, off = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
+    def place(batches):
+        for batch in batches:
+            rank = batch.column("before").to_numpy() + batch.column("rank").to_numpy()
+            length = batch.column("length").to_numpy()
+            seq, off = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             order = np.argsort(length, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
                 n = int(length[own[0]])
                 seq[own], off[own] = Plan(capacity, 0, {n: shared.value[n]}).place(n, rank[own])
-            yield frame.drop(columns=["part", "rank", "before"]).assign(sequence_id=seq, offset=off)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(seq), pa.array(off)], names=[*kept, "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name not in ("part", "rank"))
-    return cut.join(base, ["part", "length"]).select(*cut.columns, "before").mapInPandas(place, f"{fields}, sequence_id bigint, offset bigint")
+    kept = [c for c in cut.columns if c not in ("part", "rank")]
+    schema = StructType([*[cut.schema[c] for c in kept], *StructType.fromDDL("sequence_id bigint, offset bigint")])
+    return cut.join(base, ["part", "length"]).select(*cut.columns, "before").mapInArrow(place, schema)
 
 
 def vocabulary() -> str:
@@ -219,4 +221,6 @@ def vocabulary() -> str:
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents packed. Null and empty texts are one id, the closing one; null ids stay null; rows that repeat are packed
+    each."""
     return pack(table(spark, sf_dir, "documents"), vocabulary()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

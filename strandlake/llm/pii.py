@@ -2,7 +2,7 @@
 
 Native: one projection of built-in expressions, no shuffle. A match is wrapped in a sentinel character by
 ``regexp_replace``; splitting at the sentinel leaves text and matches in turn, so a running sum of lengths gives code
-point offsets in one pass over the text.
+point offsets in one pass over the text. A text that holds the sentinel is split at the matches instead.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.common import text_or_empty
 
-#: Private-use character that marks matches; where a text holds it, it is read as another that no pattern accepts.
-SENTINEL, STAND_IN = "", ""
+#: Private-use character that marks matches.
+SENTINEL = "\ue000"
+#: Pieces of a text that running sums are taken over at once.
+CHUNK = 256
 
 # The base patterns. Repetitions are possessive and starts anchored to the beginning of a run (or the end
 # of the last match), which accepts the same leftmost matches in time linear in the text, without recursion.
@@ -93,25 +95,39 @@ def confirmed(kind: str, match: Column) -> Column:
 
 
 def _pieces(text: Column, kind: Kind) -> Column:
-    """Text between matches at even places, matches at odd ones."""
+    """Text between matches at even places, matches at odd ones. A text that holds the sentinel itself is matched twice instead."""
     cut = F.split(F.regexp_replace(text, F.lit(kind.pattern), F.lit(f"{SENTINEL}$0{SENTINEL}")), SENTINEL, -1)
+    between, found = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    twice = F.slice(F.flatten(F.zip_with(between, found, lambda b, m: F.array(b, m))), 1, F.size(found) * 2 + 1)
+    cut = F.when(F.contains(text, F.lit(SENTINEL)), twice).otherwise(cut)
     return F.when(F.contains(text, F.lit(kind.needs)), cut).otherwise(F.array(text)) if kind.needs else cut
 
 
+def _score(kind: Kind, before: Column) -> Column:
+    """Prior of the kind, and a tenth more where a context word stands shortly before."""
+    return F.least(F.lit(1.0), F.lit(kind.prior) + F.when(F.right(before, F.lit(CONTEXT_CHARS)).rlike(f"(?i)(?:{kind.context})"), 0.1).otherwise(0.0))
+
+
 def _spans(text: Column, kind: Kind) -> Column:
-    """array<struct<kind, start, end, score>> of the confirmed matches, in order. Offsets are code points, end exclusive."""
+    """array<struct<kind, start, end, score>> of the confirmed matches, in order. Offsets are code points, end exclusive. Sums
+    run within chunks of pieces, then over chunks, so that a text of many matches isn't copied for each."""
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("match"), F.lit("").alias("before"), none.alias("found"))
+    pieces = _pieces(text, kind)
+    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("before"), none.alias("found"))
 
-    def step(s: Column, piece: Column) -> Column:
-        end = s["at"] + F.length(piece)
-        score = F.least(F.lit(1.0), F.lit(kind.prior) + F.when(F.right(s["before"], F.lit(CONTEXT_CHARS)).rlike(f"(?i)(?:{kind.context})"), 0.1).otherwise(0.0))
-        span = F.struct(F.lit(kind.name).alias("kind"), s["at"].alias("start"), end.alias("end"), score.alias("score"))
-        found = F.when(s["match"] & confirmed(kind.name, piece), F.concat(s["found"], F.array(span))).otherwise(s["found"])
-        return F.struct(end.alias("at"), (~s["match"]).alias("match"), piece.alias("before"), found.alias("found"))
+    def step(s: Column, piece: Column) -> Column:  # piece: struct<text, match>
+        end = s["at"] + F.length(piece["t"])
+        span = F.struct(F.lit(kind.name).alias("kind"), s["at"].alias("start"), end.alias("end"), _score(kind, s["before"]).alias("score"))
+        found = F.when(piece["m"] & confirmed(kind.name, piece["t"]), F.concat(s["found"], F.array(span))).otherwise(s["found"])
+        return F.struct(end.alias("at"), piece["t"].alias("before"), found.alias("found"))
 
-    pieces = _pieces(text, kind)
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, state, step)["found"]).otherwise(none)
+    marked = F.transform(pieces, lambda p, i: F.struct(p.alias("t"), (i % 2 == 1).alias("m")))
+    # Chunks begin with text, so what stands before a match is in its chunk.
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(marked) - 1) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(marked, c * CHUNK + 1, CHUNK), state, step))
+    lengths = F.transform(chunks, lambda c: c["at"])
+    starts = F.aggregate(lengths, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))["all"]
+    moved = lambda c, at: F.transform(c["found"], lambda x: F.struct(x["kind"].alias("kind"), (x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["score"].alias("score")))
+    return F.when(F.size(pieces) <= 1, none).when(F.size(pieces) <= CHUNK, F.aggregate(marked, state, step)["found"]).otherwise(F.flatten(F.zip_with(chunks, starts, moved)))
 
 
 def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
@@ -120,23 +136,24 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     Null text counts as empty and has no span. Kinds don't compete: a card inside a phone number is found as both.
     Repeated rows are answered alike; other columns pass through (a column named ``out`` is replaced).
     """
-    clean = F.translate(text_or_empty(text), SENTINEL, STAND_IN)
-    df = df.withColumns({f"__{k.name}": _spans(clean, k) for k in KINDS})
+    df = df.withColumns({f"__{k.name}": _spans(text_or_empty(text), k) for k in KINDS})
     return df.withColumn(out, F.concat(*[F.col(f"__{k.name}") for k in KINDS])).drop(*[f"__{k.name}" for k in KINDS])
 
 
-def _masked(kind: Kind):
-    return lambda piece, i: F.when((i % 2 == 1) & confirmed(kind.name, piece), F.lit(f"[{kind.name.upper()}]")).otherwise(piece)
+def _masked(kind: Kind, least: float):
+    def piece(text: Column, i: Column) -> Column:
+        sure = (i % 2 == 1) & confirmed(kind.name, text) & (_score(kind, F.get("__cut", i - 1)) >= least)
+        return F.when(sure, F.lit(f"[{kind.name.upper()}]")).otherwise(text)
+
+    return piece
 
 
 def redact(df: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame:
-    """Replaces each confirmed match by its kind in brackets, kind after kind; null text stays null. A bracketed kind
-    holds no character that could join a later match. The sentinel character, if a text holds it, comes out as STAND_IN."""
-    col = F.translate(F.col(text), SENTINEL, STAND_IN)
+    """Replaces each confirmed match of a score of ``least`` or more by its kind in brackets, kind after kind; null text stays
+    null and every other character as it is. A bracketed kind holds no character that could join a later match."""
     for k in sorted(KINDS, key=lambda k: ("email", "iban", "phone", "card", "ip", "ssn").index(k.name)):
-        cut = _pieces(col, k)
-        df = df.withColumn(text, F.when(F.size(cut) > 1, F.array_join(F.transform(cut, _masked(k)), "")).otherwise(col))
-        col = F.col(text)
+        df = df.withColumn("__cut", _pieces(F.col(text), k))
+        df = df.withColumn(text, F.when(F.size("__cut") > 1, F.array_join(F.transform("__cut", _masked(k, least)), "")).otherwise(F.col(text))).drop("__cut")
     return df
 
 
@@ -145,6 +162,7 @@ def span_text(spans: Column) -> Column:
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
+    """Spans of every whole text. Null and empty texts have none, null ids stay null, repeated rows are answered alike."""
     from strandlake.llm.common import table
 
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))

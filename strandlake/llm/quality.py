@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_sample, fold_of, table
+from strandlake.llm.common import bounded_sample, expand_texts, fold_of, table
 from strandlake.llm.shingles import mix, powers
 from strandlake.llm.textvec import BAR, DIGIT, MARK, SPACE, STOP, SYMBOL, UPPER, classes, codes, slices
 
@@ -24,8 +24,8 @@ WORDS = 40
 HASHED, LOOKS = 48, 16
 FEATURES = HASHED + LOOKS
 HIDDEN, GATE = 24, 12
-#: Bound of the labelled rows that are learned from.
-SAMPLE_ROWS = 5_000
+#: Bounds of the labelled rows that are learned from, and of the passages of each (evenly over the text).
+SAMPLE_ROWS, BAG = 5_000, 64
 THRESHOLD = 0.3
 
 
@@ -98,66 +98,74 @@ class Model:
         return 1 / (1 + np.exp(-(top / bottom[:, None] @ self.w["c"] + self.w["b"][0])))
 
 
-def train(texts: list[str], labels: list[int], *, epochs: int = 12, batch: int = 64, rate: float = 0.004, seed: int = 0) -> Model:
-    """Gradient of the log loss through attention and encoder, by hand; Adam."""
-    if len(set(labels)) < 2:
+def bag(text: str | None) -> np.ndarray:
+    """Features of BAG passages at most, evenly over the text; of one empty passage for a text without a word."""
+    found = np.concatenate([passages(pieces)[0] for _, pieces in slices([text])] or [passages([""])[0]])
+    return found[np.unique(np.linspace(0, len(found) - 1, BAG).astype(int))] if len(found) > BAG else found
+
+
+def train(texts: list[str], labels: list[int], **how) -> Model:
+    return learn([(bag(t), y) for t, y in zip(texts, labels, strict=True)], **how)
+
+
+def gradient(w: dict[str, np.ndarray], bags: list[tuple[np.ndarray, int]]) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean log loss of some bags and its gradient, through score, attention and encoder."""
+    model = Model(w)
+    x, y = np.concatenate([b for b, _ in bags]), np.array([y for _, y in bags])
+    n = [len(b) for b, _ in bags]
+    starts, of = np.cumsum([0, *n[:-1]]), np.repeat(np.arange(len(bags)), n)
+    z = model.encode(x)
+    h, t, g, e = z["h"], z["t"], z["s"], z["e"]
+    whole = np.add.reduceat(e, starts)
+    att = e / whole[of]
+    mean = np.add.reduceat(att[:, None] * h, starts)
+    p = 1 / (1 + np.exp(-(mean @ w["c"] + w["b"][0])))
+    d = (p - y) / len(y)
+    dmean = d[:, None] * w["c"]
+    datt = (h * dmean[of]).sum(axis=1)
+    dlog = att * (datt - np.add.reduceat(att * datt, starts)[of])
+    u = np.tanh((t * g) @ w["a"])
+    du = dlog * 5 * (1 - u**2)
+    dtg = du[:, None] * w["a"]
+    dt, dg = dtg * g * (1 - t**2), dtg * t * g * (1 - g)
+    dh = att[:, None] * dmean[of] + dt @ w["T"].T + dg @ w["S"].T
+    dz = dh * (1 - h**2)
+    grad = {"c": mean.T @ d, "b": np.array([d.sum()]), "a": (t * g).T @ du, "T": h.T @ dt, "S": h.T @ dg, "V": ((x - w["mean"]) / w["dev"]).T @ dz, "v": dz.sum(axis=0)}
+    return float(-np.mean(y * np.log(p + 1e-300) + (1 - y) * np.log(1 - p + 1e-300))), grad
+
+
+def learn(bags: list[tuple[np.ndarray, int]], *, epochs: int = 12, batch: int = 64, rate: float = 0.004, seed: int = 0) -> Model:
+    """Adam on the log loss of the bags; labels all alike teach nothing."""
+    if len({y for _, y in bags}) < 2:
         return Model()
-    rng, bags = np.random.default_rng(seed), []
-    for at, pieces in slices(texts):
-        x, of = passages(pieces)
-        bags += [(int(i), x[of == k]) for k, i in enumerate(at)]
-    merged: dict[int, list[np.ndarray]] = {}
-    for i, x in bags:
-        merged.setdefault(i, []).append(x)
-    bags = [(np.concatenate(xs), labels[i]) for i, xs in merged.items()]
+    rng = np.random.default_rng(seed)
     every = np.concatenate([x for x, _ in bags])
     init = lambda a, b: rng.normal(0, a**-0.5, (a, b))
     w = {"V": init(FEATURES, HIDDEN), "v": np.zeros(HIDDEN), "T": init(HIDDEN, GATE), "S": init(HIDDEN, GATE), "a": rng.normal(0, 0.1, GATE), "c": np.zeros(HIDDEN), "b": np.zeros(1)}
-    model = Model(w | {"mean": every.mean(axis=0), "dev": every.std(axis=0) + 1e-3})
+    fixed = {"mean": every.mean(axis=0), "dev": every.std(axis=0) + 1e-3}
     m1, m2, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for s in range(0, len(order), batch):
-            some = [bags[i] for i in order[s : s + batch]]
-            x, y = np.concatenate([b for b, _ in some]), np.array([y for _, y in some])
-            n = [len(b) for b, _ in some]
-            starts, of = np.cumsum([0, *n[:-1]]), np.repeat(np.arange(len(some)), n)
-            model.w |= w
-            z = model.encode(x)
-            h, t, g, e = z["h"], z["t"], z["s"], z["e"]
-            whole = np.add.reduceat(e, starts)
-            att = e / whole[of]
-            mean = np.add.reduceat(att[:, None] * h, starts)
-            p = 1 / (1 + np.exp(-(mean @ w["c"] + w["b"][0])))
-            d = (p - y) / len(y)
-            dmean = d[:, None] * w["c"]
-            dh = att[:, None] * dmean[of]
-            datt = (h * dmean[of]).sum(axis=1)
-            dlog = att * (datt - np.add.reduceat(att * datt, starts)[of])
-            u = np.tanh((t * g) @ w["a"])
-            du = dlog * 5 * (1 - u**2)
-            dtg = du[:, None] * w["a"]
-            dt, dg = dtg * g * (1 - t**2), dtg * t * g * (1 - g)
-            dh = dh + dt @ w["T"].T + dg @ w["S"].T
-            dz = dh * (1 - h**2)
-            grad = {"c": mean.T @ d, "b": np.array([d.sum()]), "a": (t * g).T @ du, "T": h.T @ dt, "S": h.T @ dg, "V": ((x - model.w["mean"]) / model.w["dev"]).T @ dz, "v": dz.sum(axis=0)}
+            _, grad = gradient(w | fixed, [bags[i] for i in order[s : s + batch]])
             step += 1
             for k in w:
                 grad[k] = grad[k] + 1e-4 * w[k]
                 m1[k] = 0.9 * m1[k] + 0.1 * grad[k]
                 m2[k] = 0.999 * m2[k] + 0.001 * grad[k] ** 2
                 w[k] = w[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
-    model.w |= w
-    return model
+    return Model(w | fixed)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0, limit: int = SAMPLE_ROWS) -> Model:
     """A model of at most ``limit`` labelled documents, by hash of the id, whose fold isn't ``held_out``. The sample is
-    drawn from the labels before texts are looked up."""
-    rows = labels.where(F.col("quality").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out)).select("doc_id", "quality")
+    drawn from the labels before texts are looked up; the driver gets features, of BAG passages of each text at most. Of labels or
+    texts that share an id the lower, or the first by order, is taken."""
+    rows = labels.where(F.col("quality").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     some = F.broadcast(bounded_sample(rows, "doc_id", limit))  # at most ``limit`` rows
-    got = docs.where("text is not null").join(some, "doc_id").select("doc_id", "text", "quality").toPandas().sort_values("doc_id")
-    return train(got["text"].tolist(), got["quality"].astype(int).tolist())
+    got = docs.where("text is not null").select("doc_id", "text").join(some, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    seen = expand_texts(got, "text", ["doc_id", "quality"], {"bag": "binary"}, lambda texts, _: [[bag(t).tobytes() for t in texts]]).collect()
+    return learn([(np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES), r["quality"]) for r in sorted(seen, key=lambda r: r["doc_id"])])
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -165,16 +173,13 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     columns pass through; repeated rows are answered alike."""
     df = df.drop("quality_score")
     shared = df.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
-
-    def run(frames):
-        for frame in frames:
-            yield frame.assign(quality_score=shared.value.score([t if isinstance(t, str) else None for t in frame[text]]))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{fields}, quality_score double")
+    return expand_texts(df, text, df.columns, {"quality_score": "double"}, lambda texts, _: [shared.value.score(texts)])
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, by a model of labelled rows that aren't held out. Null and empty texts, null ids (never held
+    out) and repeated rows are scored too; without labels every score is 0.5."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+    held = F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held, F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,20 +1,22 @@
 """Token counts as delta-maintained rollups.
 
 Inserts, deletes and revised counts become signed rows; a batch of them is summed by source, language and tokenizer
-version and committed under its batch id by renaming a finished folder into place, so a batch counts once however often it
-is sent, and a writer that dies leaves nothing that is read. Totals are sums over committed batches; ``compact`` folds
-them into one without changing what they say or which ids are taken.
+version and written to a folder of its own. A manifest, a small file that names the folder and the batch ids in it, commits
+it: it is written under a temporary name and renamed to that of its batch id without overwriting, so a batch counts once
+however often and by however many writers it is sent, and a writer that dies leaves nothing that is read. Totals are sums over
+committed batches; ``compact`` folds them into one without changing what they say or which ids are taken.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import materialize, shared_dir, table
+from strandlake.llm.common import expand_texts, materialize, shared_dir, table
 from strandlake.llm.packing import vocabulary
 from strandlake.llm.tokens import encoder
 
@@ -38,73 +40,95 @@ def revised(df: DataFrame, old: str = "tokens", new: str = "new_tokens") -> Data
 
 
 class TokenRollup:
-    """Totals kept under ``path``, a folder in a store that all executors share."""
+    """Totals kept under ``path``, a folder in a store that all executors share. One process at a time may compact; any number
+    may commit meanwhile."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _folders(self) -> dict[str, set[str]]:
-        """Committed folders with the ids they carry; one whose ids another carries too is left from a compaction."""
-        top = self._hadoop(self.path)
-        names = [s.getPath().getName() for s in self._fs.listStatus(top)] if self._fs.exists(top) else []
-        ids = {n: set(n.removeprefix("batch=").split("+")) for n in sorted(names) if n.startswith("batch=")}
-        return {n: own for n, own in ids.items() if not any(own < other for other in ids.values())}
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._at, conf = hadoop.Path, spark._jsc.hadoopConfiguration()
+        top = self._at(self.path)
+        self._fs = top.getFileSystem(conf)
+        self._context = hadoop.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._keep = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)  # no option: an existing file isn't overwritten
+
+    def _manifests(self) -> dict[str, dict]:
+        """Manifests that count, by name. Once a compaction holds a batch, the batch's own manifest and any smaller compaction
+        count no more, wherever the compaction was interrupted."""
+        top, found = self._at(self.path), {}
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
+        for name in names:
+            if name.startswith("batch="):
+                stream = self._fs.open(self._at(f"{self.path}/{name}"))
+                try:
+                    found[name] = json.loads(bytes(stream.readAllBytes()))
+                finally:
+                    stream.close()
+        held = {n: set(m["ids"]) for n, m in found.items()}
+        return {n: m for n, m in found.items() if not any(held[n] <= held[o] and (held[n] < held[o] or o < n) for o in found if o != n)}
 
     def committed(self) -> set[str]:
         """Ids of batches that count, compacted ones included."""
-        return set().union(*self._folders().values())
+        return {i for m in self._manifests().values() for i in m["ids"]}
 
     def commit(self, batch_id: str, signed: DataFrame) -> bool:
-        """Adds a batch unless its id has been committed; says whether it was added. Ids are letters, digits, - and _."""
-        if not batch_id.replace("-", "").replace("_", "").isalnum():
+        """Adds a batch unless its id has been committed; says whether it was added. Ids are letters, digits, - and _, at most
+        200. An empty batch counts as one."""
+        if not batch_id.replace("-", "").replace("_", "").isalnum() or len(batch_id) > 200:
             raise ValueError(f"batch id {batch_id!r}")
         if batch_id in self.committed():
             return False
-        new = f"{self.path}/_new-{uuid.uuid4().hex}"
-        signed.groupBy(*KEYS).agg(F.sum("docs").cast("bigint").alias("docs"), F.sum("tokens").cast("bigint").alias("tokens")).write.parquet(new)
-        return self._put(new, f"batch={batch_id}")
-
-    def _put(self, new: str, name: str) -> bool:
-        target = self._hadoop(f"{self.path}/{name}")
-        if self._fs.exists(target) or not self._fs.rename(self._hadoop(new), target):
-            self._fs.delete(self._hadoop(new), True)
+        summed = signed.groupBy(*KEYS).agg(F.sum("docs").cast("bigint").alias("docs"), F.sum("tokens").cast("bigint").alias("tokens"))
+        return self._put(summed, f"batch={batch_id}", [batch_id])
+
+    def _put(self, rows: DataFrame, name: str, ids: list[str]) -> bool:
+        new = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/_data-{new}")
+        draft, target = self._at(f"{self.path}/_draft-{new}"), self._at(f"{self.path}/{name}")
+        stream = self._fs.create(draft, False)
+        try:
+            stream.write(json.dumps({"ids": ids, "data": f"_data-{new}"}).encode())
+        finally:
+            stream.close()
+        try:
+            self._context.rename(self._context.makeQualified(draft), self._context.makeQualified(target), self._keep)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in str(error.java_exception.getClass().getName()):
+                raise
+            self._fs.delete(draft, False)
+            self._fs.delete(self._at(f"{self.path}/_data-{new}"), True)
             return False
         return True
 
-    def _read(self, names: list[str]) -> DataFrame:
-        parts = [f"{self.path}/{n}" for n in names]
+    def _read(self, manifests: dict[str, dict]) -> DataFrame:
+        parts = [f"{self.path}/{m['data']}" for m in manifests.values()]
         rows = self.spark.read.schema(SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], SCHEMA)
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
     def totals(self) -> DataFrame:
         """KEYS, docs, tokens; groups that have lost all their documents are left out. Null keys are groups too."""
-        return self._read(list(self._folders())).where("docs <> 0 or tokens <> 0")
+        return self._read(self._manifests()).where("docs <> 0 or tokens <> 0")
 
     def compact(self) -> None:
-        """Folds all committed batches into one folder that carries their ids; the old ones go once it is in place."""
-        old = self._folders()
+        """Folds all committed batches into one; the old ones go once its manifest is in place. A totals frame made before may
+        then fail to read and is to be made anew."""
+        old = self._manifests()
         if len(old) > 1:
-            new = f"{self.path}/_new-{uuid.uuid4().hex}"
-            self._read(list(old)).write.parquet(new)
-            if self._put(new, "batch=" + "+".join(sorted(set().union(*old.values())))):
-                for f in old:
-                    self._fs.delete(self._hadoop(f"{self.path}/{f}"), True)
+            self._put(self._read(old), f"batch=compact+{uuid.uuid4().hex}", sorted({i for m in old.values() for i in m["ids"]}))
+            for name, m in old.items():
+                self._fs.delete(self._at(f"{self.path}/{name}"), False)
+                self._fs.delete(self._at(f"{self.path}/{m['data']}"), True)
 
 
 def count_tokens(df: DataFrame, texts: dict[str, str], tokenizer: str) -> DataFrame:
-    """Adds a column of token counts for each text column of ``texts`` (text -> count); null texts have a null count."""
-    def run(frames):
+    """Puts a column of token counts in place of each text column of ``texts`` (text -> count); null texts have a null count,
+    empty ones 0, repeated rows are counted each; columns named like a count are replaced, others pass through."""
+
+    def run(*columns):
         enc = encoder(tokenizer)
-        for f in frames:
-            for text, out in texts.items():
-                n = [len(b) // 4 for s in range(0, len(f), 256) for b in enc.encode([t if isinstance(t, str) else None for t in f[text].iloc[s : s + 256]])]
-                f[out] = pd.array([k if isinstance(t, str) else None for t, k in zip(f[text], n, strict=True)], dtype="Int64")
-            yield f.drop(columns=list(texts))
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in texts] + [f"`{c}` bigint" for c in texts.values()]
-    return df.mapInPandas(run, ", ".join(fields))
+        return [[None if t is None else len(b) // 4 for t, b in zip(column, enc.encode(column), strict=True)] for column in columns[:-1]]
+
+    return expand_texts(df, list(texts), [c for c in df.columns if c not in texts and c not in texts.values()], dict.fromkeys(texts.values(), "bigint"), run)
 
 
 def count_words(text: str) -> Column:

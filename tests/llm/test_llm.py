@@ -122,6 +122,48 @@ def test_rollup_is_idempotent_and_compacts(spark, tmp_path):
         r.commit("../x", rollup.inserted(df))
 
 
+def test_rollup_compacts_many_long_ids_and_survives_interruption(spark, tmp_path):
+    r = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    df = spark.createDataFrame([("a", "en", "v1", 5)], "source string, lang string, tokenizer string, tokens bigint")
+    ids = [f"batch-of-a-rather-long-name-{i:05d}" for i in range(12)]
+    assert all(r.commit(i, rollup.inserted(df)) for i in ids)
+    before = {f.name: f.read_bytes() for f in (tmp_path / "r").iterdir() if f.name.startswith("batch=")}
+    r.compact()
+    assert len([f for f in (tmp_path / "r").iterdir() if f.name.startswith("batch=")]) == 1 and r.committed() == set(ids)
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 12, 60)]
+    (tmp_path / "r" / f"batch={ids[3]}").write_bytes(before[f"batch={ids[3]}"])  # as a compaction would leave it that ends too early
+    assert r.totals().first()["tokens"] == 60 and not r.commit(ids[3], rollup.inserted(df))
+    assert not r._put(df.withColumn("docs", F.lit(1)), f"batch={ids[3]}", [ids[3]])  # a second writer that has not seen the first
+    assert r.commit("empty", rollup.inserted(df.where("false"))) and r.totals().first()["tokens"] == 60
+
+
+def test_rollup_query_against_recount(spark):
+    import pandas as pd
+
+    docs, labels = (pd.read_parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    toxic, e = set(labels[labels.toxic == 1].doc_id), Encoder(packing.vocabulary())
+    want = collections.defaultdict(lambda: [0, 0])
+    for r in docs.itertuples():
+        text = re.sub(r"\n[^\n]*\blicen[cs]e[^\n]*", "", r.text or "", flags=re.I)
+        if r.doc_id not in toxic:
+            for kind, n in (("words-1", len(re.findall(r"[^ \t\n\r\f\x0b]+", text))), ("word_bpe_49k-1", len(e.tokenizer.encode(text, add_special_tokens=False).ids))):
+                key = (r.source if isinstance(r.source, str) else None, r.lang if isinstance(r.lang, str) else None, kind)
+                want[key][0] += 1
+                want[key][1] += n
+    got = {(r["source"], r["lang"], r["tokenizer"]): [r["docs"], r["tokens"]] for r in rollup.op2_token_rollup(spark, "/root/testdata/sf0.001").collect()}
+    assert got == dict(want)
+
+
+def test_counts_of_odd_rows(spark):
+    df = frame(spark).withColumn("tokens", F.lit("x"))
+    got = rollup.count_tokens(df, {"text": "tokens"}, packing.vocabulary())
+    assert got.columns == [c for c in df.columns if c not in ("text", "tokens")] + ["tokens"]
+    rows = got.collect()
+    by, e = {r["doc_id"]: r["tokens"] for r in rows}, Encoder(packing.vocabulary())
+    assert len(rows) == len(TEXTS) + 2 and all(by[i] == (None if t is None else len(e.tokenizer.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(TEXTS))
+    assert rollup.count_tokens(frame(spark, empty=True), {"text": "tokens"}, packing.vocabulary()).count() == 0
+
+
 # 3 quality -------------------------------------------------------------------------------------------------------------
 
 
@@ -138,6 +180,47 @@ def test_quality_learns_and_scores_all(spark):
     assert quality.Model(m.w).score(["word " * 300000])[0] == pytest.approx(m.score(["word " * 300000])[0])
 
 
+def test_quality_gradient_against_differences():
+    rng = np.random.default_rng(5)
+    bags = [(rng.normal(size=(int(rng.integers(1, 5)), quality.FEATURES)), int(rng.integers(0, 2))) for _ in range(6)]
+    shapes = {"V": (quality.FEATURES, quality.HIDDEN), "v": (quality.HIDDEN,), "T": (quality.HIDDEN, quality.GATE), "S": (quality.HIDDEN, quality.GATE), "a": (quality.GATE,), "c": (quality.HIDDEN,), "b": (1,)}
+    w = {k: rng.normal(0, 0.3, s) for k, s in shapes.items()} | {"mean": np.zeros(quality.FEATURES), "dev": np.ones(quality.FEATURES)}
+    _, grad = quality.gradient(w, bags)
+    for k, shape in shapes.items():
+        for _ in range(4):
+            at, step = tuple(int(rng.integers(0, n)) for n in shape), 1e-5
+            up, down = ({**w, k: w[k].copy()} for _ in range(2))
+            up[k][at] += step
+            down[k][at] -= step
+            assert grad[k][at] == pytest.approx((quality.gradient(up, bags)[0] - quality.gradient(down, bags)[0]) / (2 * step), rel=1e-3, abs=1e-7)
+
+
+def test_quality_score_against_plain_attention():
+    rng = np.random.default_rng(1)
+    text = " ".join("".join(rng.choice(list("abcdeXY!|*0. "), 9)) for _ in range(400))
+    m = quality.train([text, "plain words of a kind " * 30] * 8, [0, 1] * 8, epochs=2)
+    x, w = quality.passages([text])[0], m.w
+    top = bottom = 0.0
+    for row in x:
+        h = np.tanh(((row - w["mean"]) / w["dev"]) @ w["V"] + w["v"])
+        a = math.exp(5 * math.tanh((np.tanh(h @ w["T"]) / (1 + np.exp(-(h @ w["S"])))) @ w["a"]))
+        top, bottom = top + a * h, bottom + a
+    assert m.score([text])[0] == pytest.approx(1 / (1 + math.exp(-(top / bottom @ w["c"] + w["b"][0]))))
+    words = [w for i in range(0, len(text.split()), quality.WORDS) for w in [text.split()[i : i + quality.WORDS]]]
+    assert len(x) == len(words) and x[:, 0] == pytest.approx([sum(map(len, p)) / 10 / len(p) for p in words], abs=1e-5)
+
+
+def test_quality_query_on_held_out_rows(spark):
+    import pandas as pd
+
+    rows = quality.op3_quality(spark, "/root/testdata/sf0.01").toPandas()
+    docs, labels = (pd.read_parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    assert sorted(rows.doc_id) == sorted(docs.doc_id) and rows.score.between(0, 1).all() and ((rows.score >= 0.3) == (rows.predicted == 1)).all()
+    assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(rows.doc_id, rows.held_out, strict=True))
+    both = rows[rows.held_out].merge(labels, on="doc_id")
+    assert len(both) > 20 and (both.predicted == both.quality).mean() > 0.9
+
+
 # 4 near duplicates -----------------------------------------------------------------------------------------------------
 
 
@@ -298,6 +381,27 @@ def test_pii_checksums_context_and_redaction(spark):
     assert pii.find_pii(frame(spark, empty=True)).count() == 0
 
 
+def test_pii_query_against_python(spark, tmp_path):
+    texts = [*PRIVATE, "GB82WEST12345698765432 and 078-05-1120", None, "a@b.cd " * 700 + "1.2.3.4"]
+    spark.createDataFrame([(2**60 + i, t) for i, t in enumerate(texts)] + [(None, "x@y.zz")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in pii.op6_pii(spark, str(tmp_path)).collect()}
+    assert got[None]["n_email"] == 1 and len(got) == len(texts) + 1
+    for i, t in enumerate(texts):
+        r, want = got[2**60 + i], base_spans(t or "")
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s[0] == k for s in want) for k in ("email", "ip", "card", "phone")]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        more = [s for s in r["spans"].split(",") if s.startswith(("iban", "ssn"))]
+        assert more == (["iban:0:22", "ssn:27:38"] if i == len(PRIVATE) else [])
+
+
+def test_redaction_keeps_other_characters_and_minds_the_score(spark):
+    texts = [f"{pii.SENTINEL}a@b.cd{pii.SENTINEL}", f"{pii.SENTINEL} 1.2.3.4 \U0001f600", "ssn 078-05-1120", "so 078-05-1120", "\ue001 x"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r["text"] for r in pii.redact(df).collect()] == [f"{pii.SENTINEL}[EMAIL]{pii.SENTINEL}", f"{pii.SENTINEL} [IP] \U0001f600", "ssn [SSN]", "so [SSN]", "\ue001 x"]
+    assert [r["text"] for r in pii.redact(df, least=0.65).collect()][2:4] == ["ssn [SSN]", "so 078-05-1120"]
+    assert [r["text"] for r in pii.redact(df, least=1.1).collect()] == texts
+
+
 # 7 mixing --------------------------------------------------------------------------------------------------------------
 
 
@@ -317,7 +421,22 @@ def test_mixing_stays_within_a_block(spark):
     for t in range(0, last, 37):
         for s, w in weights.items():
             done = len({b for (name, b), slot in slots.items() if name == s and slot < t})
-            assert abs(done - w * t) < 2  # a block that a long document covers counts with it
+            assert abs(done - w * t) < 1
+
+
+def test_mixing_of_long_documents_and_a_tiny_source(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "x" * int(rng.integers(1, 9000)), f"s{i % 2}") for i in range(600)] + [(None, "hi", "tiny"), (None, "ho", "tiny")]
+    weights = {"s0": 0.6, "s1": 0.399, "tiny": 0.001}
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights, block=1000).collect()
+    slots = {(r["source"], r["mix_block"]): r["mix_slot"] for r in out}
+    blocks = {s: sorted(b for name, b in slots if name == s) for s in weights}
+    assert all(b == list(range(len(b))) for b in blocks.values())  # no block is passed over by a document that spans it
+    assert len(out) == 602 and sum(r["in_mix"] for r in out) > 400
+    last = max(r["mix_slot"] for r in out if r["in_mix"])
+    for s in ("s0", "s1"):
+        for t in range(0, last, 7):
+            assert abs(sum(1 for b in blocks[s] if slots[s, b] < t) - weights[s] * t) < 1
 
 
 def test_mixing_odd_rows(spark):
@@ -364,6 +483,26 @@ def test_language_learns_and_rejects(spark):
     assert langid.identify(frame(spark, empty=True), m).count() == 0 and langid.train([], []).predict(["a"])[0] == ["und"]
 
 
+def test_language_query_on_held_out_rows(spark):
+    import pandas as pd
+
+    rows = langid.op8_language(spark, "/root/testdata/sf0.01").toPandas()
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    both = rows.merge(docs, on="doc_id")
+    assert len(both) == len(docs) == len(rows) and all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in zip(rows.doc_id, rows.held_out, strict=True))
+    letter = both.text.fillna("").map(lambda t: any(c.isalpha() for c in t))
+    assert set(both.lang_pred[letter]) <= set(docs.lang.dropna()) and (both.lang_pred[~letter] == "und").all() and rows.score.between(0, 1).all()
+    known = both[both.held_out & letter & both.lang.notna()]
+    assert (known.lang_pred == known.lang).mean() > 0.97
+
+
+def test_language_learns_from_bounded_passages(spark):
+    df = spark.createDataFrame([(i, ("thar bolin grath merk " if i % 2 else "éçou tréne ouaix lèque ") * 200, "xx" if i % 2 else "yy") for i in range(60)], "doc_id bigint, text string, lang string")
+    m = langid.fit(df, limit=40, passages=100)
+    assert m.langs == ["xx", "yy"] and m.predict(["bolin thar", "ouaix éçou"])[0] == ["xx", "yy"]
+    assert np.array_equal(m.table, langid.fit(df.repartition(3), limit=40, passages=100).table) and langid.fit(df.where("false")).langs == []
+
+
 # 9 fingerprints --------------------------------------------------------------------------------------------------------
 
 
@@ -407,6 +546,49 @@ def test_next_documents(spark, tmp_path):
         assert got[a]["edited_sha256"] == hashlib.sha256((t[: len(t) - k] + u[:k]).encode()).hexdigest() and 0 <= got[a]["near_edited"] <= 1
 
 
+def plain_fingerprint(text):
+    """Hashes (as the operator makes them, token by token) by position, by definition."""
+    import xxhash
+
+    alone = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+    tokens = re.findall(rf"[^\W_{alone}]{{1,16}}|[{alone}]", text.lower()) or re.findall(r"\S", text)
+    hashed = lambda data, seed: xxhash.xxh64_intdigest(data, seed)
+    long = lambda h: h.to_bytes(8, "little")
+    join = lambda a, b: hashed(long(b), hashed(long(a), 42)) if b is not None else hashed(long(a), 42)
+    one = [hashed(t.encode(), 42) for t in tokens]
+    two = [join(h, one[i + 1] if i + 1 < len(one) else None) for i, h in enumerate(one)]
+    four = [join(h, two[i + 2] if i + 2 < len(two) else None) & 0xFFFFFFFF for i, h in enumerate(two)]
+    four = four[: max(1, len(four) - 3)]
+    out = []
+    for i in range(max(1, len(four) - 5) if four else 0):
+        low = min(four[i : i + 6])
+        at = max(j for j in range(i, min(i + 6, len(four))) if four[j] == low)
+        if (low, at) not in out:
+            out.append((low, at))
+    return out
+
+
+def test_fingerprint_query_against_definition(spark, tmp_path):
+    big = 2**60 + 1
+    rows = [(big, PROSE[2]), (big - 1, PROSE[3] + " 漢字と kana"), (9, PROSE[2] + " and some more"), (3, None), (2, "!!! ???"), (1, "a b c d e"), (0, "one"), (-7, PROSE[4] * 3), (-7, PROSE[5]), (None, PROSE[6]), (None, PROSE[7])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, bucket string, cut int")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = winnow.op9_fingerprints(spark, str(tmp_path)).collect()
+    order = sorted(((-(2**62) if i is None else i, t or "") for i, t in rows), key=lambda r: (-r[0], r[1]))
+    like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    want = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        k = len(t) // 3
+        edited = t[: len(t) - k] + u[:k]
+        a, b, c = (plain_fingerprint(x) for x in (t, edited, u))
+        show = lambda f: ",".join(f"{h:x}:{p}" for h, p in f)
+        hs = [{h for h, _ in f} for f in (a, b, c)]
+        want.append((None if i == -(2**62) else i, len(t), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(b), like(hs[0], hs[1]), like(hs[0], hs[2])))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert winnow.op9_fingerprints(spark, str(tmp_path / "none")).count() == 0
+
+
 # 10 packing ------------------------------------------------------------------------------------------------------------
 
 
@@ -456,3 +638,23 @@ def test_pack_rows(spark):
     for v in seqs.values():
         assert all(a + n == b for (a, n), (b, _) in zip(sorted(v), sorted(v)[1:], strict=False)) and sum(n for _, n in v) <= 4096
     assert packing.pack(frame(spark, empty=True), packing.vocabulary()).count() == 0
+
+
+# All ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    big = [2**60 + 1, 2**60 + 3, None, 2**53 + 1]
+    df = spark.createDataFrame([(i, f"{PROSE[k]} {k}", "en", 2**61 + 1 if k else None) for k, i in enumerate(big)], "doc_id bigint, text string, lang string, other bigint").coalesce(1)
+    ids = lambda rows, c="doc_id": sorted((r[c] for r in rows), key=str)
+    want = sorted(big, key=str)
+    model = quality.train([PROSE[0], "!!! x"] * 4, [1, 0] * 4, epochs=1)
+    assert ids(quality.score(df, model).collect()) == want and ids(quality.score(df, model).collect(), "other") == sorted([None, *[2**61 + 1] * 3], key=str)
+    assert ids(langid.identify(df, langid.train([PROSE[0], PROSE[1]], ["en", "de"])).collect()) == want
+    assert ids(dartminhash.near_duplicates(df).collect()) == want == ids(dartminhash.near_duplicates(df).collect(), "class_id")
+    assert ids(dartminhash.deduplicate(df).collect()) == want
+    assert ids(packing.pack(df, packing.vocabulary()).collect()) == want
+    assert ids(mincut.extract(df.withColumnRenamed("text", "html")).collect()) == want
+    assert ids(rollup.count_tokens(df, {"text": "n"}, packing.vocabulary()).collect()) == want
+    vectors = spark.createDataFrame([(i, [1.0, float(k)]) for k, i in enumerate(big)], "vec_id bigint, embedding array<float>").coalesce(1)
+    assert {r["vec_id"] for r in hilbert.search(vectors, F.lit(True)).collect()} == set(big) - {None}
