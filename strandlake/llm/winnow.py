@@ -59,9 +59,9 @@ def hashes(fingerprint: str | Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two fingerprints, by hash; 1 for two empty ones."""
-    shared, both = F.size(F.array_intersect(hashes(a), hashes(b))), F.size(F.array_union(hashes(a), hashes(b)))
-    return F.when(both == 0, 1.0).otherwise(shared / both)
+    """Jaccard likeness of the ``hashes`` of two fingerprints; 1 for two empty ones."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
 def fingerprint_text(fingerprint: str | Column) -> Column:
@@ -84,40 +84,40 @@ def _chain(tops: DataFrame, levels: int) -> DataFrame:
 
 
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", make=lambda rows: rows, carry: tuple[str, ...] = (), levels: int = 1) -> DataFrame:
-    """Adds what ``make`` does, then next_text and next_ of each of ``carry``: those of the row that follows by descending ``key``,
-    and of the first row after the last. Rows of equal key are ordered by text; rows whose key is null stand as if it were
-    the least; a row alone follows itself. Columns __id, __bucket and __last are dropped; others pass through.
+    """Adds what ``make`` does, then next_text and next_ of each of ``carry``: those of the row that follows by descending ``key``
+    (nulls last), and of the first row after the last. Rows of equal key are ordered by text; a row alone follows itself. Columns
+    __bucket, __of, __last and __n are dropped; others pass through.
 
     Rows are shuffled once, to their bucket of BUCKET ids; only the first row of each bucket goes further, to the bucket
     before, where the last row has it joined on."""
-    floor = F.lit(-(2**62))
-    rows = df.withColumn("__id", F.coalesce(F.col(key).cast("bigint"), floor)).withColumn("__bucket", F.floor(F.col("__id") / BUCKET))
-    n = df.agg(F.sum(F.length(text_or_empty(text))).alias("n")).first()["n"] or 0
-    rows = rows.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK)), "__bucket")
-    order = Window.partitionBy("__bucket").orderBy(F.desc("__id"), text)
-    firsts = make(rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("__bucket", text))
+    rows = df.withColumn("__bucket", F.coalesce(F.floor(F.col(key) / BUCKET), F.lit(-(2**60))).cast("bigint"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # of the files, or far too much
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(max(parts, min(-(-size // TASK), 1 << 16)), "__bucket")
+    order, given = Window.partitionBy("__bucket").orderBy(F.desc_nulls_last(key), text), (text, *carry)
+    firsts = make(rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n"))
     chain = _chain(rows.select(F.col("__bucket").alias("bucket")).distinct(), levels)
-    ghosts = chain.join(firsts, F.col("low") == F.col("__bucket")).select(F.col("bucket").alias("__of"), *[F.col(c).alias(f"__{c}") for c in (text, *carry)])
+    ghosts = chain.join(firsts, F.col("low") == F.col("__bucket")).select(F.col("bucket").alias("__of"), *[F.col(c).alias(f"__{c}") for c in given])
     rows = make(rows)
-    rows = rows.withColumns({"__last": F.lead("__id").over(order).isNull(), **{f"next_{c}": F.lead(c).over(order) for c in (text, *carry)}})
+    rows = rows.withColumns({"__last": F.lead(F.lit(1)).over(order).isNull(), **{f"next_{c}": F.lead(c).over(order) for c in given}})
     rows = rows.join(ghosts, (F.col("__bucket") == F.col("__of")) & F.col("__last"), "left")
-    return rows.withColumns({f"next_{c}": F.when(F.col("__last"), F.col(f"__{c}")).otherwise(F.col(f"next_{c}")) for c in (text, *carry)}).drop("__id", "__bucket", "__of", "__last", *[f"__{c}" for c in (text, *carry)])
+    return rows.withColumns({f"next_{c}": F.when(F.col("__last"), F.col(f"__{c}")).otherwise(F.col(f"next_{c}")) for c in given}).drop("__bucket", "__of", "__last", *[f"__{c}" for c in given])
 
 
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and their likeness. Null texts are empty; null ids come last, in the
     order of their texts; rows that repeat follow each other; a single document follows itself; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs, make=lambda r: with_fingerprint(r, "text", "fp"), carry=("fp",))
+    rows = with_next(docs, make=lambda r: with_fingerprint(r, "text", "fp").withColumn("own", hashes("fp")), carry=("own",))
     rows = rows.withColumn("n_chars", F.length("text")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
     edited = F.concat(F.left("text", F.col("n_chars") - F.col("cut")), F.left("next_text", F.col("cut")))
-    rows = with_fingerprint(rows.withColumn("edited", edited), "edited", "efp")
+    rows = with_fingerprint(rows.withColumn("edited", edited), "edited", "efp").withColumn("theirs", hashes("efp"))
     return rows.select(
         "doc_id",
         F.col("n_chars").cast("bigint").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint_text("fp").alias("fingerprint"),
         fingerprint_text("efp").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(F.col("own"), F.col("theirs")).alias("near_edited"),
+        likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
