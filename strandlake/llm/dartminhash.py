@@ -1,10 +1,12 @@
 """Near duplicates by DartMinHash: darts are thrown, by hashes alone, into the weighted regions of a text's shingles; the
 earliest dart at each coordinate is the signature, banded signatures propose candidates and exact likenesses decide.
 
-A shingle that occurs c times has a region of c unit cells. Darts reach a cell as a Poisson process in time and fall on
-one of COORDINATES coordinates, so the earliest dart of two texts agrees with probability their weighted Jaccard
-likeness. Only darts before a horizon of about (ln COORDINATES + 2.5) x COORDINATES / weight are thrown: for a text of any
-weight some hundred darts, besides one look at each cell. Texts left with an empty coordinate get a longer horizon.
+A shingle that occurs c times has a region of width c, cut into strips [0, 1), [1, 2), [2, 4), [4, 8) and so on. Darts reach a
+strip as a Poisson process in time, at a rate of its width, each at a place within it and on one of COORDINATES coordinates, all
+drawn from a hash of shingle, strip and number; those beyond c miss. So the earliest dart of two texts agrees with probability
+their weighted Jaccard likeness. Only darts before a horizon of about (ln COORDINATES + 2.5) x COORDINATES / weight are thrown:
+for a text of any weight some hundred darts, besides one look at each strip, of which a shingle has one more than log2 of its
+count. Texts left with an empty coordinate get a longer horizon.
 
 Candidates are never paired off within a bucket. Its leader (most copies, then least number) is compared with each
 member; likeness being one less a metric distance, what the leader is near to (distance D) needs no more comparison with
@@ -26,38 +28,48 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import materialize, table, text_or_empty
-from strandlake.llm.shingles import ODD, mix, shingle_sets
+from strandlake.llm.common import expand_texts, forget, materialize, table, text_or_empty
+from strandlake.llm.shingles import ODD, cell_array, cells_of, mix, shingles
 
 ROWS, BANDS = 4, 20
 COORDINATES = ROWS * BANDS
 #: A link: 5 x shared >= 4 x all, likeness 0.8.
 LINK = (4, 5)
 BLOCK = 256
+#: Places that the rows of one group are dealt among where they meet what is known of the group.
+SALTS = 64
+#: Keys that hold more than one in HOT of all rows, of which there are at most HOT, are joined by broadcast.
+HOT = 1_000
 
 
-def signatures(cells: np.ndarray, of: np.ndarray, texts: int, k: int = COORDINATES) -> np.ndarray:
-    """Earliest darts' hashes, (texts, k), uint64; zero for texts without cells."""
-    weight = np.bincount(of, minlength=texts)
+def signatures(gram: np.ndarray, count: np.ndarray, of: np.ndarray, texts: int, k: int = COORDINATES) -> np.ndarray:
+    """Earliest darts' hashes, (texts, k), uint64; zero for texts without shingles. Shingles are distinct within a text."""
+    weight = np.bincount(of, weights=count, minlength=texts)
     sig, full = np.zeros(texts * k, np.uint64), weight == 0
     wide = np.log(k) + 2.5
-    seed = mix(cells.astype(np.uint64) + ODD)
+    strips = np.where(count > 1, np.ceil(np.log2(np.maximum(count, 1))), 0).astype(np.int64) + 1
+    at = np.repeat(np.arange(len(gram)), strips)
+    strip = np.arange(len(at)) - np.repeat(np.cumsum(strips) - strips, strips)
+    low = np.where(strip > 0, 2.0 ** np.maximum(strip - 1, 0), 0.0)
+    width, seed = np.where(strip > 0, low, 1.0), mix(gram[at] + ODD) ^ mix(strip.astype(np.uint64) * ODD)
+    part = lambda h, salt: ((mix(h ^ np.uint64(salt)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
     while not full.all():
         horizon = wide * k / np.maximum(weight, 1)
-        live = ~full[of]
-        cell, doc = seed[live], of[live]
+        live = ~full[of[at]]
+        cell, doc, base, span, top = seed[live], of[at][live], low[live], width[live], count[at][live]
         time, times, darts, spots = np.zeros(len(cell)), [], [], []
         turn = 0
         while len(cell):
             turn += 1
             h = mix(cell + np.uint64(turn * int(ODD) % 2**64))
-            time = time - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-            hit = time < horizon[doc]
-            cell, doc, time, h = cell[hit], doc[hit], time[hit], h[hit]
-            dart = mix(h ^ np.uint64(0x5851F42D4C957F2D))
-            times.append(time)
+            time = time - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / span
+            soon = time < horizon[doc]
+            cell, doc, base, span, top, time, h = (x[soon] for x in (cell, doc, base, span, top, time, h))
+            hit = base + span * part(h, 0x2545F4914F6CDD1D) < top
+            dart = mix(h[hit] ^ np.uint64(0x5851F42D4C957F2D))
+            times.append(time[hit])
             darts.append(dart)
-            spots.append(doc * k + (dart % np.uint64(k)).astype(np.int64))
+            spots.append(doc[hit] * k + (dart % np.uint64(k)).astype(np.int64))
         time, dart, spot = np.concatenate(times), np.concatenate(darts), np.concatenate(spots)
         order = np.argsort(-time, kind="stable")
         found = np.zeros(texts * k, bool)
@@ -78,32 +90,17 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sign(df: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
-    """A row for each row: ``key``, the string columns ``carry``, row (a number of its own), same (hash of the word
-    sequence), bands, cells."""
-    carry = carry or []
+    """A row for each row: ``key``, the columns ``carry``, row (a number of its own), same (hash of the word sequence),
+    bands, cells."""
 
-    def run(frames):
-        part, at = TaskContext.get().partitionId(), 0
-        for frame in frames:
-            for s in range(0, len(frame), 128):
-                some = frame.iloc[s : s + 128]
-                texts = [t if isinstance(t, str) else None for t in some[text]]
-                cells, of, keys = shingle_sets(texts)
-                bands = band_keys(signatures(cells, of, len(texts)))
-                ends = np.cumsum(np.bincount(of, minlength=len(texts)))
-                sets = np.split(cells, ends[:-1])
-                yield pd.DataFrame({
-                    key: some[key].to_numpy(),
-                    **{c: some[c].to_numpy() for c in carry},
-                    "row": (part << 40) + at + np.arange(len(texts)),
-                    "same": [k.tobytes() for k in keys],
-                    "bands": [b if len(c) else b[:0] for b, c in zip(bands, sets, strict=True)],
-                    "cells": [c.tobytes() for c in sets],
-                })
-                at += len(texts)
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text, *carry).mapInPandas(run, f"`{key}` {kind}, {''.join(f'`{c}` string, ' for c in carry)}row bigint, same binary, bands array<bigint>, cells binary")
+    def run(texts, at):
+        gram, count, of, keys = shingles(texts)
+        held = np.bincount(of, minlength=len(texts)) > 0
+        bands = band_keys(signatures(gram, count, of, len(texts)))
+        row = (TaskContext.get().partitionId() << 40) + at + np.arange(len(texts))
+        return [row, [k.tobytes() for k in keys], [b if h else b[:0] for b, h in zip(bands, held, strict=True)], cells_of(gram, count, of, len(texts))]
+
+    return expand_texts(df, text, [key, *(carry or [])], {"row": "bigint", "same": "binary", "bands": "array<bigint>", "cells": "binary"}, run)
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -122,7 +119,7 @@ def _likenesses(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            a, b = [np.frombuffer(x, np.uint32) for x in f["a"]], [np.frombuffer(x, np.uint32) for x in f["b"]]
+            a, b = [cell_array(x) for x in f["a"]], [cell_array(x) for x in f["b"]]
             n = [shared(x, y) for x, y in zip(a, b, strict=True)]
             yield pd.DataFrame({"leader": f["leader"], "node": f["node"], "shared": n, "whole": [len(x) + len(y) - k for x, y, k in zip(a, b, n, strict=True)]})
 
@@ -143,7 +140,9 @@ def _blocks(field: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     field = field.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     worth = field.groupBy(*group).agg(F.count("*").alias("m"), F.sum(F.col("ring").cast("int")).alias("r"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     worth = worth.where("r > 0 and lo < hi").select(*group, F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("r") / BLOCK).cast("int").alias("rb"))
-    field = field.join(worth, group)
+    # A group may be large: its counts are sent to SALTS places, and its rows are dealt among these.
+    worth = worth.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    field = field.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(worth, [*group, "salt"])
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     right = field.select(*group, "node", "comp", F.lit(False).alias("ring"), place("mb").alias("j"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("i"))
     left = field.where("ring").select(*group, "node", "comp", "ring", place("rb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"))
@@ -151,12 +150,12 @@ def _blocks(field: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         field, low, high = f[~f["ring"]], *LINK
-        sets_ = [np.frombuffer(x, np.uint32) for x in field["cells"]]
-        cells, of, size = np.concatenate(sets_) if sets_ else np.zeros(0, np.uint32), np.repeat(np.arange(len(sets_)), [len(s) for s in sets_]), np.array([len(s) for s in sets_])
+        sets_ = [cell_array(x) for x in field["cells"]]
+        cells, of, size = np.concatenate(sets_) if sets_ else np.zeros(0, np.uint64), np.repeat(np.arange(len(sets_)), [len(s) for s in sets_]), np.array([len(s) for s in sets_])
         order = np.argsort(cells, kind="stable")
         cells, of, comps, nodes, out = cells[order], of[order], field["comp"].to_numpy(), field["node"].to_numpy(), []
         for node, comp, raw in f[f["ring"]][["node", "comp", "cells"]].itertuples(index=False):
-            own = np.frombuffer(raw, np.uint32)
+            own = cell_array(raw)
             lo, hi = np.searchsorted(cells, own, "left"), np.searchsorted(cells, own, "right")
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
             n = np.bincount(of[at], minlength=len(size))
@@ -179,29 +178,46 @@ def components(edges: DataFrame) -> DataFrame:
         steps.append(materialize(step, "step"))
         a, b = (steps[-1].select(F.col("node").alias(c), F.col("to").alias(f"{c}2")) for c in "ab")
         after = links.join(a, "a").join(b, "b").where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
-        links = materialize(after, "links")
+        after, before = materialize(after, "links"), links
+        links = after
+        forget(before)
         if links.limit(1).count() == 0:
             break
     out = steps[0].select("node", F.col("to").alias("comp"))
     for step in steps[1:]:
         out = out.join(step.select(F.col("node").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    return materialize(out, "labels")
+    out = materialize(out, "labels")
+    forget(links, *steps)
+    return out
+
+
+def _joined(rows: DataFrame, known: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Rows with what is known of their ``key`` (each has one row in ``known``, and holds ``count`` rows): the few keys that hold
+    many rows by broadcast, the others by a shuffle."""
+    hot = F.broadcast(known.where(F.col(count) * HOT > total))  # fewer than HOT rows
+    cold = rows.join(hot.select(key), key, "left_anti").join(known.where(F.col(count) * HOT <= total), key)
+    return rows.join(hot, key).unionByName(cold.select(*rows.join(hot, key).columns))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
-    """A row for each row of ``df``: ``key``, the string columns ``carry``, class_id (least ``key`` of the class), class_rows, and keep, true for one
-    row of each class. Classes are the components of links: equal word sequences, or weighted Jaccard likeness of five-word
-    shingles of 0.8 or more.
+    """A row for each row of ``df``: ``key``, the columns ``carry``, class_id (least ``key`` of the class), class_rows, and keep, true
+    for one row of each class. Classes are the components of links: equal word sequences, or weighted Jaccard likeness of
+    five-word shingles of 0.8 or more.
 
     Null texts count as empty; texts without a word form one class, as equal texts do. Rows with a null key take part (a
     class of them alone has a null class_id); repeated rows are rows of their own."""
+    carry = carry or []
     signed = materialize(sign(df, text, key, carry), "signed")
-    same = materialize(signed.groupBy("same").agg(F.min("row").alias("node"), F.count("*").alias("copies")), "same")
-    one = signed.select("row", "bands").join(same.select(F.col("node").alias("row"), "copies"), "row")
+    least = lambda: F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row")).alias("least")
+    same = materialize(signed.groupBy("same").agg(F.min("row").alias("node"), F.count("*").alias("copies"), least()), "same")
+    one = signed.select("row", "bands", "cells").join(same.select(F.col("node").alias("row"), "copies"), "row")
+    one = materialize(one, "texts")  # a row for each word sequence
     rows = one.select(F.explode("bands").alias("band"), F.struct("copies", F.col("row").alias("node")).alias("who"))
-    sets, pair = signed.select("row", "cells"), lambda x: x.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    sets, pair = one.select("row", "cells"), lambda x: x.select(F.col("node").alias("a"), F.col("comp").alias("b"))
     lead = rows.groupBy("band").agg(F.max("who").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(lead.select("band", F.col("lead.node").alias("leader")), "band").select("band", "leader", F.col("who.node").alias("node"))
+    lead = lead.select("band", F.col("lead.node").alias("leader"), "n")
+    members = F.col("who.node").alias("node")
+    rows = _joined(rows.select("band", members), lead, "band", "n", one.count() * BANDS).select("band", "leader", "node")
     rows = materialize(rows.where("node <> leader"), "buckets")
     seen = materialize(_likenesses(rows.select("leader", "node").distinct(), sets), "seen")
     labels = components(seen.where(_within(1)).select(F.col("leader").alias("a"), F.col("node").alias("b")))
@@ -212,13 +228,17 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", carr
     more = materialize(_blocks(field.unionByName(beyond), labels, sets), "more")
     if more.limit(1).count():
         labels = components(more.unionByName(pair(labels)))
-    named = signed.select(key, *(carry or []), "row", "same").join(same.select("same", "node"), "same")
-    named = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    first = named.groupBy("comp").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key), "row")).alias("first"), F.count("*").alias("class_rows"))
-    return named.join(first, "comp").select(key, *(carry or []), F.col(f"first.{key}").alias("class_id"), "class_rows", (F.col("row") == F.col("first.row")).alias("keep"))
+    forget(rows, seen, more, one)
+    named = same.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    classes = named.groupBy("comp").agg(F.min("least").alias("first"), F.sum("copies").alias("class_rows"), F.count("*").alias("texts"))
+    total = signed.count()
+    named = _joined(named.select("comp", "same", "copies"), classes, "comp", "texts", total)
+    out = _joined(signed.select(key, *carry, "row", "same"), named.select("same", "copies", "first", "class_rows"), "same", "copies", total)
+    return out.select(key, *carry, F.col("first.key").alias("class_id"), "class_rows", (F.col("row") == F.col("first.row")).alias("keep"))
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    """Class of every document; nulls, empty texts, repeated rows and an empty table as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -295,15 +295,22 @@ def test_deduplicate_tells_rows_of_one_key_apart(spark):
 
 
 def test_dart_signatures_estimate_likeness():
-    from strandlake.llm.shingles import shingle_sets
-
-    a, b = " ".join(f"w{i}" for i in range(400)), " ".join(f"w{i}" for i in range(100, 500))
-    c, of, _ = shingle_sets([a, b])
-    s = dartminhash.signatures(c, of, 2, 2000)
-    x, y = cells(a), cells(b)
-    assert abs((s[0] == s[1]).mean() - len(x & y) / len(x | y)) < 0.05
-    one, of, _ = shingle_sets(["single"])
-    assert (dartminhash.signatures(one, of, 1) != 0).all()
+    from strandlake.llm.shingles import cell_array, cells_of, shingles
+
+    rng = np.random.default_rng(6)
+    a = " ".join(f"w{i}" for i in range(400))
+    for b in (" ".join(f"w{i}" for i in range(100, 500)), a + " " + "again and " * 150, "again and " * 300 + " ".join(f"w{i}" for i in range(300)), " ".join(rng.choice(["x", "y"], 400))):
+        gram, count, of, _ = shingles([a, b, "again and " * 200 + a])
+        s = dartminhash.signatures(gram, count, of, 3, 2000)
+        for i, j, y in ((0, 1, b), (2, 1, b)):
+            x, y = cells((a, b, "again and " * 200 + a)[i]), cells(y)
+            assert abs((s[i] == s[j]).mean() - len(x & y) / len(x | y)) < 0.05
+        sets = [set(cell_array(c).tolist()) for c in cells_of(gram, count, of, 3)]
+        assert [len(c) for c in sets] == [len(cells(t)) for t in (a, b, "again and " * 200 + a)] and len(sets[0] & sets[1]) == len(cells(a) & cells(b))
+    gram, count, of, _ = shingles(["single", None, "word " * 300000])
+    assert count.max() > 10**5 and len(gram) == 2
+    s = dartminhash.signatures(gram, count, of, 3)
+    assert (s[0] != 0).all() and (s[1] == 0).all() and (s[2] != 0).all()
 
 
 # 5 nearest neighbours --------------------------------------------------------------------------------------------------
