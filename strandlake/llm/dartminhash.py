@@ -210,14 +210,13 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", carr
     signed = materialize(sign(df, text, key, carry), "signed")
     least = lambda: F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row")).alias("least")
     same = materialize(signed.groupBy("same").agg(F.min("row").alias("node"), F.count("*").alias("copies"), least()), "same")
-    one = signed.select("row", "bands", "cells").join(same.select(F.col("node").alias("row"), "copies"), "row")
-    one = materialize(one, "texts")  # a row for each word sequence
+    one = signed.select("row", "bands").join(same.select(F.col("node").alias("row"), "copies"), "row")
     rows = one.select(F.explode("bands").alias("band"), F.struct("copies", F.col("row").alias("node")).alias("who"))
-    sets, pair = one.select("row", "cells"), lambda x: x.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    sets, pair = signed.select("row", "cells"), lambda x: x.select(F.col("node").alias("a"), F.col("comp").alias("b"))
     lead = rows.groupBy("band").agg(F.max("who").alias("lead"), F.count("*").alias("n")).where("n > 1")
     lead = lead.select("band", F.col("lead.node").alias("leader"), "n")
     members = F.col("who.node").alias("node")
-    rows = _joined(rows.select("band", members), lead, "band", "n", one.count() * BANDS).select("band", "leader", "node")
+    rows = _joined(rows.select("band", members), lead, "band", "n", same.count() * BANDS).select("band", "leader", "node")
     rows = materialize(rows.where("node <> leader"), "buckets")
     seen = materialize(_likenesses(rows.select("leader", "node").distinct(), sets), "seen")
     labels = components(seen.where(_within(1)).select(F.col("leader").alias("a"), F.col("node").alias("b")))
@@ -228,7 +227,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", carr
     more = materialize(_blocks(field.unionByName(beyond), labels, sets), "more")
     if more.limit(1).count():
         labels = components(more.unionByName(pair(labels)))
-    forget(rows, seen, more, one)
+    forget(rows, seen, more)
     named = same.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = named.groupBy("comp").agg(F.min("least").alias("first"), F.sum("copies").alias("class_rows"), F.count("*").alias("texts"))
     total = signed.count()
