@@ -3,7 +3,9 @@
 Vectors are projected onto a few random orthogonal directions, shifted, and ordered along a Hilbert curve; CURVES such
 orderings differ in directions and shift. Each is range-partitioned and ranked in Spark; a query's candidates are the rows
 within a window of ranks around its own place on every curve. Windows are met block by block, scored on the original
-vectors in double precision and merged.
+vectors in double precision and merged: rows go to the one block of ranks that holds their place, queries to the blocks that
+their windows touch. Blocks grow with the window up to a bound, so queries are sent to a few of them as long as that lasts. A task reads
+the rows of a block first and then its queries, batch by batch, however many they are.
 
 The window is what the data ask for: on a bounded sample of queries, the exact neighbours' least rank distance over the
 curves is taken and its quantile RECALL becomes the half window. Vectors that cluster need short windows; vectors without
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +27,8 @@ from strandlake.llm.common import bounded_sample, materialize, table
 
 CURVES, AXES, BITS = 3, 8, 7
 RECALL, SAMPLE = 0.96, 200
-#: Ranks to a block, and queries to a group that meets one.
-BLOCK, QUERIES = 8192, 1024
+#: Ranks to a block, at least and at most; numbers that a batch of queries is scored into at once.
+BLOCK, LARGEST, SCORED = 8192, 65536, 1 << 24
 
 
 def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -78,11 +81,12 @@ def _matrix(column: pd.Series, dim: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, dim))
 
 
-def best(ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` rows with the largest inner product with ``q``, ties to the smaller id, without ``own``. A fast product
-    selects, with some slack; what is kept is summed in one order, so that equal vectors tie."""
-    rough = x @ q
-    rough[ids == own] = -np.inf
+def best(ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int | None, k: int, rough: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` rows with the largest inner product with ``q``, ties to the smaller id, without ``own``. A fast product (``rough``,
+    if it is known) selects, with some slack; what is kept is summed in one order, so that equal vectors tie."""
+    rough = x @ q if rough is None else rough
+    if own is not None:
+        rough = np.where(ids == own, -np.inf, rough)
     at = np.flatnonzero(rough > -np.inf)
     if len(at) > k:
         least = np.partition(rough[at], len(at) - k)[len(at) - k]
@@ -115,7 +119,7 @@ def exact_neighbours(data: DataFrame, queries: list[tuple[int, np.ndarray]], k:
 def search(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of which ``is_query`` holds, the nearest others by inner product.
 
-    Vectors that are null, zero, of another length than the first, or hold null or non-finite components take no part, nor
+    Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor
     do rows with a null id; an empty table gives no rows. All queries of equal vectors are answered alike, but for the
     row left out. Of equal vectors only the k + 1 with the least ids can be among anyone's k nearest, so only these are
     compared. Ids are distinct; of rows that repeat one, each is a candidate and one is returned."""
@@ -173,27 +177,49 @@ def search(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id",
     half = far.agg(F.percentile("d", F.lit(RECALL)).alias("w")).first()["w"]
     half = int(half or 0) + k
 
-    chunks = -(-int(n_asked * min(1.0, (2 * half + BLOCK) / n)) // QUERIES)
-    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
-    last = (n + 1) // BLOCK
-    left = spots.join(data.select("vec_id", "v"), "vec_id").select("curve", F.floor(F.col("place") / BLOCK).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asked"), "vec_id", "v", F.lit(0).cast("bigint").alias("q"), "place")
-    block = lambda p: F.greatest(F.lit(0), F.least(F.lit(last), F.floor(p / BLOCK)))
+    size = max(BLOCK, min(LARGEST, half))
+    last = (n + 1) // size
+    block = lambda p: F.greatest(F.lit(0), F.least(F.lit(last), F.floor(p / size)))
+    left = spots.join(data.select("vec_id", "v"), "vec_id").select("curve", block(F.col("place")).alias("block"), F.lit(False).alias("asked"), "vec_id", "v", "place")
     right = wants.join(asked.select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"]), "query_id")
-    right = right.select("curve", F.explode(F.sequence(block(F.col("q") - half), block(F.col("q") + half))).alias("block"), chunk("query_id").alias("chunk"), F.lit(True).alias("asked"), F.col("query_id").alias("vec_id"), "v", "q", F.lit(0).cast("bigint").alias("place"))
-
-    def meet(f: pd.DataFrame) -> pd.DataFrame:
-        asked = f["asked"].to_numpy().astype(bool)
-        rows, out = f[~asked].sort_values("place"), []
-        x, ids, place = _matrix(rows["v"], dim), rows["vec_id"].to_numpy(), rows["place"].to_numpy()
-        for own, v, q in f[asked][["vec_id", "v", "q"]].itertuples(index=False):
-            a, b = np.searchsorted(place, [q - half, q + half + 1])
-            i, s = best(ids[a:b], x[a:b], np.asarray(v, dtype=np.float64), own, k)
-            out.append(pd.DataFrame({"query_id": own, "vec_id": i, "score": s}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-
-    hits = left.unionByName(right).groupBy("curve", "block", "chunk").applyInPandas(meet, "query_id bigint, vec_id bigint, score double")
+    right = right.select("curve", F.explode(F.sequence(block(F.col("q") - half), block(F.col("q") + half))).alias("block"), F.lit(True).alias("asked"), F.col("query_id").alias("vec_id"), "v", F.col("q").alias("place"))
+    # The parts that meet: as many as blocks, so that a task holds one block's rows, or a few blocks one after the other.
+    met = left.unionByName(right).repartition(max(parts, CURVES * (last + 1)), "curve", "block").sortWithinPartitions("curve", "block", "asked")
+    fields = "query_id bigint, vec_id bigint, score double"
+
+    def meet(batches):
+        at, held, ready = None, [], None
+        for batch in batches:
+            f = batch.to_pandas()
+            for key, part in f.groupby(["curve", "block"], sort=True):
+                if key != at:
+                    at, held, ready = key, [], None
+                rows, wanted = part[~part["asked"]], part[part["asked"]]
+                if len(rows):
+                    held.append((rows["place"].to_numpy(), rows["vec_id"].to_numpy(), _matrix(rows["v"], dim)))
+                if not len(wanted) or not held:
+                    continue
+                if ready is None:
+                    place, ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
+                    order = np.argsort(place, kind="stable")
+                    ready = place[order], ids[order], x[order]
+                place, ids, x = ready
+                step = max(1, SCORED // len(ids))
+                for s in range(0, len(wanted), step):
+                    some = wanted.iloc[s : s + step]
+                    q, own = _matrix(some["v"], dim), some["vec_id"].to_numpy()
+                    lo, hi = np.searchsorted(place, some["place"].to_numpy() - half), np.searchsorted(place, some["place"].to_numpy() + half + 1)
+                    rough, out = q @ x.T, []
+                    for j in range(len(some)):
+                        a, b = lo[j], hi[j]
+                        i, score = best(ids[a:b], x[a:b], q[j], own[j], k, rough[j, a:b])
+                        out.append((np.full(len(i), own[j]), i, score))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+    hits = met.mapInArrow(meet, fields)
     return _top(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op5_nearest(spark, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector; nulls, odd vectors, ties, repeated rows and an empty table as in ``search``."""
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -338,7 +338,9 @@ def test_search_recall_and_odd_vectors(spark):
     hit = total = 0
     for q, got in out.items():
         got.sort()
-        i, s = hilbert.best(np.arange(1500), x.astype(float), x[q].astype(float), q, 20)
+        exact = (x.astype(float) * x[q].astype(float)).sum(axis=1)
+        i = sorted((j for j in range(1500) if j != q), key=lambda j: (-exact[j], j))[:20]
+        assert all(s == pytest.approx(exact[v], abs=1e-12) for _, v, s in got)
         assert [r for r, _, _ in got] == list(range(1, 21)) and q not in {v for _, v, _ in got}
         hit, total = hit + len(set(i) & {v for _, v, _ in got}), total + 20
     assert hit / total >= 0.9
