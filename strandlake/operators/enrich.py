@@ -78,6 +78,65 @@ def central_windows(hist: DataFrame, length: int, width: int, by: str = "motif_i
     return out.withColumn("log_p", log_binomial_udf(k, n, F.least(F.col("size") / bins, F.lit(1.0))))
 
 
+def middle_distances(sites: DataFrame, lengths: DataFrame, by: str = "motif_id", seq: str = "seq_name") -> DataFrame:
+    """by, size, weight: as ``central_windows``, for sequences of any lengths (``lengths``: ``seq``, n): weights of best sites by the
+    distance of a site's middle from that of its own sequence."""
+    w = F.lit(1.0) / F.count("*").over(Window.partitionBy(by, seq))
+    off = F.abs(F.col("start") - 1 - (F.col("n") - (F.col("stop") - F.col("start") + 1)) / 2.0)
+    d = sites.withColumn("w", w).join(lengths, seq).groupBy(by, F.floor(off).cast("int").alias("dist")).agg(F.sum("w").alias("w"))
+    run = Window.partitionBy(by).orderBy("dist").rowsBetween(Window.unboundedPreceding, 0)  # a row for each distance
+    return d.select(by, (2 * F.col("dist") + 1).alias("size"), F.sum("w").over(run).alias("weight"))
+
+
+def local_windows(hist: DataFrame, bins: int, least: int = 1, most: int | None = None, by: str = "motif_id", centre: str = "centre") -> DataFrame:
+    """by, first, last, weight, total, log_p: for every window of ``least`` to ``most`` bins (from 0 on) the weight within, by running
+    sums, and the binomial tail of so many. Rows are as many as windows, whatever the sequences."""
+    every = hist.select(by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    dense = every.join(hist.select(by, F.col(centre).cast("int").alias("bin"), "weight"), [by, "bin"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    run = Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    sums = dense.select(by, "bin", F.sum("weight").over(run).alias("upto"), F.sum("weight").over(Window.partitionBy(by)).alias("total"))
+    ends = sums.select(by, F.col("bin").alias("last"), "upto", "total", F.explode(F.sequence(F.lit(least), F.lit(min(most or bins, bins)))).alias("size"))
+    ends = ends.withColumn("first", F.col("last") - F.col("size") + 1).where("first >= 0")
+    before = sums.select(by, (F.col("bin") + 1).alias("first"), F.col("upto").alias("before"))
+    out = ends.join(before, [by, "first"], "left").withColumn("weight", F.col("upto") - F.coalesce("before", F.lit(0.0)))
+    k, n = F.floor(F.col("weight") + 0.5).cast("int"), F.floor(F.col("total") + 0.5).cast("int")
+    return out.select(by, "first", "last", "weight", "total", log_binomial_udf(k, n, F.col("size") / bins).alias("log_p"))
+
+
+def against_controls(windows: DataFrame, controls: DataFrame, by: str = "motif_id") -> DataFrame:
+    """Windows of primary and control sequences by their place: adds control weight and total, and Fisher's test of both."""
+    other = controls.select(by, "first", "last", F.col("weight").alias("control_weight"), F.col("total").alias("control_total"))
+    whole = lambda c: F.floor(F.col(c) + 0.5).cast("bigint")
+    both = windows.join(other, [by, "first", "last"], "left").fillna(0.0, ["control_weight", "control_total"])
+    return both.withColumn("log_fisher", log_fisher_udf(whole("weight"), whole("total"), whole("control_weight"), whole("control_total")))
+
+
+def regression_enrichment(scores: DataFrame, by: str, key: str, x: str, y: str, repeats: int = 10, seed: int = 1) -> DataFrame:
+    """by, slope, intercept, r2, below, pvalue: regression of ``y`` on ``x`` in each group, and how often it fits as well when ``y`` is
+    dealt anew among the group's rows. A turn's order is that of hashes; places are made by distributed ranks, and rows meet
+    by place, so that no group is sorted in one task. ``key`` is unique in a group."""
+    own = scores.groupBy(by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+    placed = average_ranks(scores.select(by, key, y), key, [by]).select(by, F.col("rank").alias("place"), F.col(y).alias("dealt"))
+    turns = scores.select(by, key, x, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("turn"))
+    at = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("turn").cast("string"), F.col(key).cast("string")).cast("binary"))
+    turns = turns.withColumn("h", F.conv(F.substring(at, 1, 13), 16, 10).cast("bigint"))
+    turns = average_ranks(turns, "h", [by, "turn"]).withColumnRenamed("rank", "place")
+    null = turns.join(placed, [by, "place"]).groupBy(by, "turn").agg(F.regr_r2("dealt", x).alias("null"))
+    worse = null.join(own, by).groupBy(by).agg(F.sum((F.col("null") >= F.col("r2")).cast("bigint")).alias("below"))
+    return own.join(worse, by).withColumn("pvalue", (F.col("below") + 1) / F.lit(repeats + 1.0))
+
+
+def marked(terms: DataFrame, above: DataFrame, term: str, child: str, parent: str) -> DataFrame:
+    """``term``, n_above, n_below, implied, for terms of a hierarchy whose closure is ``above`` (child, parent): how many of the listed
+    terms stand above and below, and whether a more special one among them implies it."""
+    listed = terms.select(F.col(term).alias("t")).distinct()
+    pairs = above.join(listed.withColumnRenamed("t", child), child, "left_semi").join(listed.withColumnRenamed("t", parent), parent, "left_semi").distinct()
+    up = pairs.groupBy(F.col(child).alias("t")).agg(F.count("*").alias("n_above"))
+    down = pairs.groupBy(F.col(parent).alias("t")).agg(F.count("*").alias("n_below"))
+    out = listed.join(up, "t", "left").join(down, "t", "left").fillna(0, ["n_above", "n_below"])
+    return out.select(F.col("t").alias(term), "n_above", "n_below", (F.col("n_below") > 0).alias("implied"))
+
+
 def spacings(primary: DataFrame, secondary: DataFrame, margin: int, seq: str = "seq_name") -> DataFrame:
     """seq, gap, quadrant: secondary sites within ``margin`` of the primary. Quadrants: same (0) or opposite (1) strand, plus
     2 if downstream as the primary's strand reads. Sites meet in equal bins of ``margin`` symbols, then by distance."""

@@ -120,6 +120,29 @@ def reverse_complement_rows(df: DataFrame, alphabet: Alphabet = DNA) -> DataFram
     return df.select("motif_id", (F.max("pos").over(Window.partitionBy("motif_id")) + 1 - F.col("pos")).alias("pos"), pairs[F.col("sym")].alias("sym"), "freq")
 
 
+def remap_rows(df: DataFrame, symbols: str, by: tuple[str, ...] = ("motif_id",)) -> DataFrame:
+    """Motif rows over another alphabet's core ``symbols``: what it lacks goes, what it adds has frequency 0."""
+    every = df.select(*by, "pos").distinct().withColumn("sym", F.explode(F.array(*[F.lit(s) for s in symbols])))
+    return every.join(df.select(*by, "pos", "sym", "freq"), [*by, "pos", "sym"], "left").withColumn("freq", F.coalesce("freq", F.lit(0.0)))
+
+
+def renamed(df: DataFrame, numbers: bool = False) -> DataFrame:
+    """motif_id, new_id: motifs numbered in order of their ids, or named by their consensus."""
+    if not numbers:
+        return consensus(df).select("motif_id", F.col("consensus").alias("new_id"))
+    ids = df.select("motif_id").distinct()  # a row for each motif
+    return ids.select("motif_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("motif_id")).cast("string").alias("new_id"))
+
+
+def union_rows(**databases: DataFrame) -> DataFrame:
+    """Motif rows of several databases, ``db`` before each."""
+    out = None
+    for name, rows in databases.items():
+        own = rows.select(F.lit(name).alias("db"), "motif_id", "pos", "sym", "freq")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def correlation(a: Motif, b: Motif) -> float:
     """Largest mean column correlation over alignments of the shorter within the longer."""
     if a.width > b.width:

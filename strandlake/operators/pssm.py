@@ -79,3 +79,14 @@ def sequence_pv(pssm: Pssm, freqs: np.ndarray) -> np.ndarray:
 def prior_log_odds(prior: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     """log2(alpha p / (1 - alpha p))."""
     return np.log2(alpha * prior / (1 - alpha * prior))
+
+
+def with_prior_distribution(pssm: Pssm, bins: np.ndarray, low: float, high: float, alpha: float = 1.0) -> np.ndarray:
+    """P-values by score of a matrix to which the log odds of a prior are added, as of one more column: ``bins`` says how priors
+    are distributed between ``low`` and ``high`` (at the middles of so many parts; all at ``low`` if they are the same)."""
+    middle = low + (np.arange(len(bins)) + 0.5) * ((high - low) / len(bins)) if high > low else np.full(len(bins), low)
+    at = nint((prior_log_odds(middle, alpha) - pssm.offset) * pssm.scale)
+    column = np.zeros(max(0, int(at.max())) + 1)
+    np.add.at(column, np.maximum(at, 0), bins / bins.sum())
+    pdf = -np.diff(np.append(pssm.pv, 0.0))
+    return tail(np.convolve(pdf, column))

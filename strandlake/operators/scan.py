@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.special import qfast, sidak
 from strandlake.functions.symbols import DNA
-from strandlake.operators.pssm import Pssm
+from strandlake.operators.pssm import Pssm, nint, prior_log_odds, sequence_pv, with_prior_distribution
 from strandlake.operators.ranking import qvalues
 
 HIT = "motif_id string, seq_name string, start int, stop int, strand string, score int, pvalue double, matched string"
@@ -65,6 +65,51 @@ def scan(df: DataFrame, pssms: list[Pssm], name: str = "seq_name", seq: str = "s
     return df.select(name, seq).mapInPandas(run, HIT)
 
 
+def scan_with_priors(df: DataFrame, pssms: list[Pssm], priors: DataFrame, bins: np.ndarray, low: float, high: float, alpha: float = 1.0, name: str = "seq_name", seq: str = "seq", max_p: float = 1e-4, both_strands: bool = True) -> DataFrame:
+    """As ``scan``, with the log odds of alpha x prior added to each window's score. ``priors`` has ``name``, pos (a window's start, from
+    1) and prior; ``bins`` is the distribution of priors between ``low`` and ``high``, which widens each matrix's table of
+    p-values. Sequences meet their priors by name, in any order; a window without one has the median prior."""
+    tables = [with_prior_distribution(p, bins, low, high, alpha) for p in pssms]
+    middle = float(np.interp(0.5, np.cumsum(bins) / bins.sum(), low + (np.arange(len(bins)) + 0.5) * ((high - low) / len(bins)))) if high > low else low
+    each = priors.groupBy(name).agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("prior").cast("double").alias("prior")))).alias("__priors"))
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for who, text, own in zip(f[name], f[seq], f["__priors"], strict=True):
+                prior = np.full(len(text or ""), middle)
+                for pos, v in dict(own or ()).items():
+                    if 0 < pos <= len(prior):
+                        prior[pos - 1] = v
+                odds = prior_log_odds(prior, alpha)
+                for p, pv in zip(pssms, tables, strict=True):
+                    codes = encode(text or "", p.symbols)
+                    for strand in "+-" if both_strands else "+":
+                        s = window_scores(codes, p.scores if strand == "+" else minus(p.scores, p.symbols))
+                        # A window's raw score and its prior's log odds, put on the scale of one more column.
+                        total = np.clip(nint((p.raw(s) + odds[: len(s)] - (p.width + 1) * p.offset) * p.scale), 0, len(pv) - 1)
+                        for i in np.flatnonzero((s >= 0) & (pv[total] <= max_p)):
+                            word = text[i : i + p.width].upper()
+                            word = word if strand == "+" else word[::-1].translate(str.maketrans("ACGT", "TGCA"))
+                            out.append((p.motif_id, str(who), int(i) + 1, int(i) + p.width, strand, int(total[i]), float(pv[total[i]]), word))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in HIT.split(", ")])
+
+    return df.select(name, seq).join(each, name, "left").mapInPandas(run, HIT)
+
+
+def scan_blocks(df: DataFrame, pssms: list[Pssm], name: str = "seq_name", seq: str = "seq", max_p: float = 1e-4, size: int = 1 << 20) -> DataFrame:
+    """As ``scan``, for sequences of any length: they are scanned in blocks, which overlap by one less than the widest matrix; a hit
+    counts in the block it starts in."""
+    from strandlake.operators.lookup import blocks
+
+    widest = max(p.width for p in pssms)
+    cut = blocks(df.select(F.col(name).cast("string").alias("__name"), seq), "__name", seq, size, widest - 1)
+    keyed = cut.select(F.to_json(F.struct(F.col("__name").alias("n"), F.col("offset").alias("o"))).alias("__at"), "seq")
+    found = scan(keyed, pssms, "__at", "seq", max_p).where(F.col("start") <= size)
+    at = F.from_json("seq_name", "n string, o int")
+    return found.withColumn("__at", at).select("motif_id", F.col("__at.n").alias("seq_name"), *[(F.col(c) + F.col("__at.o")).alias(c) for c in ("start", "stop")], "strand", "score", "pvalue", "matched")
+
+
 def best_sites(df: DataFrame, pssms: list[Pssm], name: str = "seq_name", seq: str = "seq", both_strands: bool = True) -> DataFrame:
     """Each motif's best-scoring windows of each sequence, all of those that tie; nothing else leaves the workers."""
     def run(frames):
@@ -100,9 +145,10 @@ def windows_tested(df: DataFrame, pssms: list[Pssm], seq: str = "seq", both_stra
 SCORED = "motif_id string, seq_name string, n_windows int, best int, best_p double, avg_odds double, max_odds double, sum_odds double, total_hits int"
 
 
-def affinity(df: DataFrame, pssms: list[Pssm], name: str = "seq_name", seq: str = "seq", max_p: float = 1e-4, both_strands: bool = True) -> DataFrame:
+def affinity(df: DataFrame, pssms: list[Pssm], name: str = "seq_name", seq: str = "seq", max_p: float = 1e-4, both_strands: bool = True, own: bool = False) -> DataFrame:
     """One row for each motif and sequence: windows scored, best score and its p-value, average, maximum and sum of the
-    likelihood ratio over scorable windows and strands, windows of p-value up to ``max_p``."""
+    likelihood ratio over scorable windows and strands, windows of p-value up to ``max_p``. ``own``: p-values under the
+    sequence's own composition, of both strands if both are scanned."""
     def run(frames):
         for f in frames:
             out = []
@@ -112,7 +158,13 @@ def affinity(df: DataFrame, pssms: list[Pssm], name: str = "seq_name", seq: str
                     s = np.concatenate([window_scores(c, m) for m in ([p.scores, minus(p.scores, p.symbols)] if both_strands else [p.scores])])
                     s = s[s >= 0]
                     odds = np.exp2(p.raw(s))
-                    pv = p.pv[np.minimum(s, len(p.pv) - 1)]
+                    table = p.pv
+                    if own and len(s):
+                        n = np.bincount(c, minlength=len(p.symbols) + 1)[: len(p.symbols)].astype(float)
+                        if both_strands:
+                            n = n + n[[p.symbols.index(DNA.complement[x]) for x in p.symbols]]
+                        table = sequence_pv(p, n / n.sum())
+                    pv = table[np.minimum(s, len(table) - 1)]
                     out.append((p.motif_id, str(who), len(s), int(s.max()) if len(s) else -1, float(pv.min()) if len(s) else 1.0, *((float(odds.mean()), float(odds.max()), float(odds.sum())) if len(s) else (0.0, 0.0, 0.0)), int((pv <= max_p).sum())))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SCORED.split(", ")])
 

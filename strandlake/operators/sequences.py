@@ -75,7 +75,7 @@ def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
 
 def subsample(df: DataFrame, n: int, key: str, seed: int = 1) -> DataFrame:
     """``n`` rows by hash of the key and the seed: a top-n, not a sort of the table."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")), key).limit(n)
 
 
 def remainder(df: DataFrame, sample: DataFrame, key: str) -> DataFrame:
@@ -166,24 +166,6 @@ def dust_mask(df: DataFrame, seq: str = "seq", window: int = 64, level: float =
     return df.withColumn(seq, run(seq))
 
 
-def pattern_hits(df: DataFrame, pattern: str, name: str, seq: str = "seq") -> DataFrame:
-    """name, start (from 1), matched: overlapping matches of a regular expression."""
-    @F.udtf(returnType="start int, matched string")
-    class Overlapping:
-        def eval(self, text: str):
-            import re
-
-            for m in re.finditer(f"(?=({pattern}))", text or ""):
-                yield m.start() + 1, m.group(1)
-
-    return df.lateralJoin(Overlapping(F.col(seq).outer())).select(name, "start", "matched")
-
-
-def split_groups(df: DataFrame, key: str, groups: int, seed: int = 1) -> DataFrame:
-    """Cross-validation groups by hash, without a shuffle."""
-    return df.withColumn("group", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(groups)).cast("int"))
-
-
 def hamming_best(df: DataFrame, pattern: str, name: str, seq: str = "seq") -> DataFrame:
     """name, distance: the least Hamming distance of any window to a pattern; null if the sequence is too short."""
     off = lambda w: sum(((F.substring(w, i + 1, 1) != s).cast("int") for i, s in enumerate(pattern)), F.lit(0))

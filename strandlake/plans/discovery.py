@@ -16,6 +16,12 @@ from strandlake.plans.sequences import DOCS, MAX_P, SCAN, docs, hits
 from strandlake.plans.statistics import MOTIFS
 from strandlake.sources import readers, writers
 
+def _kept(t, df):
+    """Written to the checkpoint folder, for loops that read it many times."""
+    checkpointed(t.spark)
+    return df.checkpoint()
+
+
 PEPTIDES = "l AS (SELECT upper(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS s FROM conversations), p AS (SELECT substr(s, i, 7) AS w FROM (SELECT s, unnest(range(1, length(s) - 5)) AS i FROM l) WHERE substr(s, i + 3, 1) = 'S')"
 
 
@@ -42,16 +48,16 @@ def motifx_step(t):
 
 @query()
 def motifx_motifs(t):
-    found = ptm.discover(peptides(t).persist(), letter_windows(t).persist(), 7, "S", motifs=2)
+    found = ptm.discover(_kept(t, peptides(t)), _kept(t, letter_windows(t)), 7, "S")
     return t.spark.createDataFrame([(d["pattern"], d["score"], d["n"], d["bg_n"]) for d in found], "pattern string, score double, n bigint, bg_n bigint")
 
 
 @query()
 def minimum_description(t):
-    p = peptides(t).persist()
+    p = _kept(t, peptides(t))
     freqs = {r["sym"]: r["n"] for r in Q.count_matrix(p, "window").groupBy("sym").agg(F.sum("n").alias("n")).collect()}
     total = sum(freqs.values())
-    found = ptm.minimum_description(p, 7, {s: n / total for s, n in freqs.items()}, rounds=1, tries=4)
+    found = ptm.minimum_description(p, 7, {s: n / total for s, n in freqs.items()})
     return t.spark.createDataFrame([("|".join(f"[{c}]" if c else "." for c in x),) for x in found], "pattern string")
 
 
@@ -66,15 +72,15 @@ def regex_core_step(t):
 
 @query()
 def regex_discovery(t):
-    d = docs(t).join(t.labels, "doc_id").persist()
-    found = regex.discover(d.where("quality = 1"), d.where("quality = 0"), "doc_id", k=4, beam=5, max_log_p=0.0)
+    d = _kept(t, docs(t).join(t.labels, "doc_id"))
+    found = regex.discover(d.where("quality = 1"), d.where("quality = 0"), "doc_id", k=4, max_log_p=0.0)
     return M.motif_rows(t.spark, found)
 
 
 @query()
 def em_discovery(t):
     checkpointed(t.spark)
-    return M.motif_rows(t.spark, em.discover(docs(t).persist(), 6, n_seeds=1))
+    return M.motif_rows(t.spark, em.discover(_kept(t, docs(t)), 6))
 
 
 @query()
@@ -93,20 +99,21 @@ SPECIES = ["a", "b", "c"]
 
 
 def alignment(t):
-    """Conversations as alignments of three species: their turns' bases, column by column."""
-    rows = t.conversations.where("turn < 3").select(F.col("conv_id").cast("string").alias("aln_id"), F.get(F.array(*[F.lit(s) for s in SPECIES]), F.col("turn").cast("int")).alias("species"), S.core_only("text").alias("seq"))
+    """Conversations as alignments of three species: three turns' bases after the other, column by column."""
+    species = F.get(F.array(*[F.lit(s) for s in SPECIES]), (F.col("turn") % 3).cast("int"))
+    rows = t.conversations.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.floor(F.col("turn") / 3).cast("string")).alias("aln_id"), species.alias("species"), S.core_only("text").alias("seq"))
     return readers.alignment_columns(rows)
 
 
-ALN = "s AS (SELECT conv_id, turn, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM conversations WHERE turn < 3), c AS (SELECT conv_id, turn, i, substr(seq, i, 1) AS base FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM s))"
+ALN = "s AS (SELECT conv_id || '/' || turn // 3 AS aln_id, turn % 3 AS turn, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM conversations), c AS (SELECT aln_id, turn, i, substr(seq, i, 1) AS base FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM s))"
 
 
-@query(f"WITH {ALN}, k AS (SELECT conv_id, i, count(DISTINCT base) AS k FROM c GROUP BY ALL) SELECT conv_id::VARCHAR AS aln_id, count(*) FILTER (k = 1) AS identical, count(*) AS columns FROM k GROUP BY 1")
+@query(f"WITH {ALN}, k AS (SELECT aln_id, i, count(DISTINCT base) AS k FROM c GROUP BY ALL) SELECT aln_id, count(*) FILTER (k = 1) AS identical, count(*) AS columns FROM k GROUP BY 1")
 def alignment_identity(t):
     return readers.identity(alignment(t))
 
 
-@query(f"WITH {ALN} SELECT conv_id::VARCHAR AS aln_id, i::INTEGER AS col, coalesce(max(base) FILTER (turn = 0), '-') || coalesce(max(base) FILTER (turn = 1), '-') || coalesce(max(base) FILTER (turn = 2), '-') AS key FROM c GROUP BY ALL")
+@query(f"WITH {ALN} SELECT aln_id, i::INTEGER AS col, coalesce(max(base) FILTER (turn = 0), '-') || coalesce(max(base) FILTER (turn = 1), '-') || coalesce(max(base) FILTER (turn = 2), '-') AS key FROM c GROUP BY ALL")
 def alignment_column_keys(t):
     return phylo.column_table(alignment(t), SPECIES)
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import symbols as S
+from strandlake.operators import lookup as L
 from strandlake.operators import motifs as M
 from strandlake.operators import pssm as P
 from strandlake.operators import ranking as R
@@ -116,30 +117,27 @@ def consensus(t):
     return M.consensus(part_motifs(t))
 
 
-BASES = "b AS (SELECT motif_id, pos, sym, freq FROM f WHERE sym IN ('a','c','g','t'))"
-
-
-@query(f"WITH {MATRIX} SELECT motif_id, pos, sym, round((freq * 20 + 0.1 * 0.04) / 20.1, 9) AS freq, round(100 * log2((freq * 20 + 0.1 * 0.04) / 20.1 / 0.04), 4) AS score FROM f WHERE sym IN ('a','e','i')")
+@query(f"WITH {MATRIX} SELECT motif_id, pos, sym, round((freq * 20 + 0.1 * 0.04) / 20.1, 9) AS freq, round(100 * log2((freq * 20 + 0.1 * 0.04) / 20.1 / 0.04), 4) AS score FROM f")
 def pseudocount_log_odds(t):
-    bg = dict.fromkeys("aei", 0.04)
-    return M.log_odds(M.pseudocount(part_motifs(t).where(F.col("sym").isin(*bg)), 20.0, 0.1, bg), bg).select("motif_id", "pos", "sym", F.round("freq", 9).alias("freq"), F.round("score", 4).alias("score"))
+    bg = dict.fromkeys(map(chr, range(32, 127)), 0.04)
+    return M.log_odds(M.pseudocount(part_motifs(t), 20.0, 0.1, bg), bg).select("motif_id", "pos", "sym", F.round("freq", 9).alias("freq"), F.round("score", 4).alias("score"))
 
 
-@query("WITH c AS (SELECT p_brand AS motif_id, unnest(range(1, 6)) AS i, p_name FROM part) SELECT motif_id, 6 - i::INTEGER AS pos, translate(substr(p_name, i, 1), 'acgt', 'tgca') AS sym, count(*) / (SELECT 1.0::DOUBLE) AS freq FROM c WHERE substr(p_name, i, 1) IN ('a','c','g','t') GROUP BY ALL")
+@query(f"WITH {MATRIX}, w AS (SELECT motif_id, max(pos) AS w FROM f GROUP BY 1) SELECT motif_id, w + 1 - pos AS pos, translate(sym, 'acgt', 'tgca') AS sym, round(freq, 9) AS freq FROM f JOIN w USING (motif_id) WHERE sym IN ('a','c','g','t')")
 def motif_reverse_complement(t):
-    cells = t.part.select(F.col("p_brand").alias("motif_id"), F.posexplode(F.split(F.substring("p_name", 1, 5), "")).alias("p", "sym")).groupBy("motif_id", (F.col("p") + 1).alias("pos"), "sym").agg(F.count("*").cast("double").alias("freq"))
     low = S.Alphabet("dna", "acgt", {}, {}, {"a": "t", "c": "g", "g": "c", "t": "a"})
-    full = cells.unionByName(cells.select("motif_id").distinct().select("motif_id", F.lit(5).alias("pos"), F.lit("#").alias("sym"), F.lit(0.0).alias("freq")))  # widths are 5
-    return M.reverse_complement_rows(full, low).where("sym is not null")
+    return M.reverse_complement_rows(part_motifs(t), low).where("sym is not null").withColumn("freq", F.round("freq", 9))
 
 
 # Two motifs with whole scores, and their p-values under a uniform background.
 SCORES = {"M1": [[3, 0, 1, 0], [0, 3, 0, 1], [1, 0, 3, 0], [0, 1, 0, 3], [3, 1, 0, 0]], "M2": [[2, 0, 0, 2], [0, 2, 2, 0], [3, 0, 0, 0], [0, 0, 3, 0], [0, 2, 0, 2], [2, 0, 2, 0]]}
 PSSMS = [P.from_integers(k, v, np.full(4, 0.25)) for k, v in SCORES.items()]
 _VALUES = ", ".join(f"('{m}', {p}, '{s}', {v})" for m, rows in SCORES.items() for p, row in enumerate(rows, 1) for s, v in zip("ACGT", row, strict=True))
-_PV = ", ".join(f"('{p.motif_id}', {s}, {v!r})" for p in PSSMS for s, v in enumerate(p.pv.tolist()))
+# Every word's score, from the scores alone: how many words of a width score so much or more.
+_WORDS = " UNION ALL ".join(f"SELECT '{m}' AS motif_id, {' + '.join(f's{i}.s' for i in range(len(rows)))} AS score FROM {', '.join(f'(SELECT s FROM pssm WHERE motif_id = {m!r} AND pos = {i + 1}) s{i}' for i in range(len(rows)))}" for m, rows in SCORES.items())
 _WIDTH = ", ".join(f"('{p.motif_id}', {p.width})" for p in PSSMS)
-SCAN = f"""{DOCS}, pssm(motif_id, pos, sym, s) AS (VALUES {_VALUES}), pv(motif_id, score, p) AS (VALUES {_PV}), width(motif_id, w) AS (VALUES {_WIDTH}),
+SCAN = f"""{DOCS}, pssm(motif_id, pos, sym, s) AS (VALUES {_VALUES}), width(motif_id, w) AS (VALUES {_WIDTH}), every_word AS ({_WORDS}),
+pv AS (SELECT DISTINCT motif_id, score, count(*) OVER (PARTITION BY motif_id ORDER BY score DESC RANGE UNBOUNDED PRECEDING) / pow(4.0, w) AS p FROM every_word JOIN width USING (motif_id)),
 rows_ AS (SELECT motif_id, pos, sym, s, '+' AS strand FROM pssm UNION ALL SELECT motif_id, w + 1 - pos, translate(sym, 'ACGT', 'TGCA'), s, '-' FROM pssm JOIN width USING (motif_id)),
 letters AS (SELECT doc_id, i, substr(seq, i, 1) AS sym FROM (SELECT doc_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM d)),
 sites AS (SELECT motif_id, strand, doc_id, i - pos + 1 AS start, sum(s)::INTEGER AS score FROM letters JOIN rows_ USING (sym) JOIN width USING (motif_id) GROUP BY ALL HAVING count(*) = any_value(w)),
@@ -227,7 +225,7 @@ def hamming_best(t):
 
 @query(f"WITH {DOCS}, {WINDOWS.format(k=4)} SELECT doc_id, i::INTEGER AS start, w AS matched FROM w4 WHERE regexp_full_match(w, 'A[CG]T[AG]')")
 def iupac_grep(t):
-    return Q.pattern_hits(docs(t), S.iupac_regex("ASTR"), "doc_id")
+    return L.pattern_hits(docs(t), S.iupac_regex("ASTR"), "doc_id")
 
 
 @query(f"WITH {DOCS} SELECT doc_id, CASE WHEN length(seq) <= 40 THEN seq ELSE substr(seq, CAST(floor((length(seq) - 40) / 2) AS INTEGER) + 1, 40) END AS mid FROM d")
@@ -245,7 +243,7 @@ def dedup_by_centre(t):
     return docs(t).groupBy(S.centred(F.col("seq"), 12).alias("mid")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
-@query()
+@query("WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('1:' || doc_id), doc_id) AS k FROM documents) SELECT doc_id, CASE WHEN k <= 100 THEN 'sample' ELSE 'rest' END AS part FROM o")
 def subsample(t):
     """A sample of 100 by hash and the rest, labelled."""
     d = docs(t).select("doc_id")
@@ -288,9 +286,11 @@ def shared_ids(t):
     return s.alias("a").join(s.alias("b"), F.col("b.k") == F.col("a.k") + 1).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.size(F.array_intersect("a.p", "b.p")).alias("n"))
 
 
-@query("WITH k AS (SELECT p_partkey, substr(p_name, 1, 4) AS k, p_name FROM part), x AS (SELECT s_suppkey, substr(s_name, i, 4) AS k FROM (SELECT s_suppkey, s_name, unnest(range(1, length(s_name) - 2)) AS i FROM supplier) UNION ALL SELECT p_partkey, substr(p_type, i, 4) FROM (SELECT p_partkey, lower(p_type) AS p_type, unnest(range(1, length(p_type) - 2)) AS i FROM part)) SELECT k.k, count(*) AS n FROM k JOIN x USING (k) GROUP BY 1")
+MIDDLE = "CASE WHEN length(seq) <= {n} THEN seq ELSE substr(seq, CAST(floor((length(seq) - {n}) / 2) AS INTEGER) + 1, {n}) END"
+
+
+@query(f"WITH {DOCS}, p AS (SELECT DISTINCT {MIDDLE.format(n=9)} AS peptide FROM d JOIN labels USING (doc_id)), {WINDOWS.format(k=9)}, s AS (SELECT peptide, doc_id, unnest(range(1, length(seq) - length(peptide) + 2)) AS i, seq FROM p, d WHERE length(peptide) BETWEEN 1 AND 8 AND contains(seq, peptide)) SELECT peptide, doc_id, i::INTEGER AS start FROM p JOIN w9 ON w = peptide UNION ALL SELECT peptide, doc_id, i::INTEGER FROM s WHERE substr(seq, i, length(peptide)) = peptide")
 def kmer_lookup_join(t):
-    """Sequences found by their first four symbols among the words of others."""
-    left = t.part.select(F.substring("p_name", 1, 4).alias("k"))
-    right = t.supplier.select(F.explode(S.words("s_name", 4)).alias("k")).unionByName(t.part.select(F.explode(S.words(F.lower("p_type"), 4)).alias("k")))
-    return left.groupBy("k").agg(F.count("*").alias("a")).join(right.groupBy("k").agg(F.count("*").alias("b")), "k").select("k", (F.col("a") * F.col("b")).alias("n"))
+    """Where the middles of labelled sequences occur in all sequences: found by their first six symbols, then verified."""
+    middles = docs(t).join(t.labels, "doc_id").select(S.centred(F.col("seq"), 9).alias("peptide"))
+    return L.peptide_lookup(middles, docs(t), "doc_id")

@@ -6,14 +6,16 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandlake.functions import special as X
+from strandlake.functions import symbols as S
 from strandlake.operators import compare as K
 from strandlake.operators import enrich as E
 from strandlake.operators import motifs as M
 from strandlake.operators import ranking as R
 from strandlake.operators import tracks as T
 from strandlake.operators.scan import best_sites
-from strandlake.plans.registry import query
-from strandlake.plans.sequences import DOCS, MAX_P, PSSMS, SCAN, docs, hits
+from strandlake.operators import select as G
+from strandlake.plans.registry import checkpointed, query
+from strandlake.plans.sequences import DOCS, MAX_P, MIDDLE, PSSMS, SCAN, docs, hits
 
 EVENTS = "e AS (SELECT *, (event_id * 7919 % 9973 + 1) / 9974.0::DOUBLE AS p, event_id * 104729 % 1009 AS s FROM events)"
 
@@ -151,18 +153,55 @@ def position_hist_ties(t):
     return h.groupBy("motif_id", F.floor(F.col("start") / 10).alias("bin")).agg(F.round(F.sum("weight"), 6).alias("weight"))
 
 
-@query(f"WITH {SCAN}, {BEST}, h AS (SELECT motif_id, floor(abs(start - 1 - 95 / 2.0))::INTEGER AS dist, sum(w) AS w FROM k WHERE start <= 96 GROUP BY ALL) SELECT motif_id, 2 * dist + 1 AS size, round(sum(w) OVER (PARTITION BY motif_id ORDER BY dist), 6) AS weight FROM h")
+BINOMIAL = "CASE WHEN {k} <= 0 THEN 0.0 ELSE ln(list_sum(list_transform(range({k}, {n} + 1), lambda j: exp(lgamma({n} + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - CASE WHEN j = {n} THEN 0 ELSE lgamma({n} - j + 1) END + j * ln({p}) + CASE WHEN {p} < 1 THEN ({n} - j) * ln(1 - {p}) WHEN j = {n} THEN 0.0 ELSE -1e300 END)))) END"
+
+
+@query(f"WITH {SCAN}, {BEST}, h AS (SELECT motif_id, floor(abs(start - 1 - (length(seq) - w_) / 2.0))::INTEGER AS dist, sum(w) AS w FROM (SELECT k.*, width.w AS w_, seq FROM k JOIN width USING (motif_id) JOIN d ON doc_id::VARCHAR = seq_name) GROUP BY ALL) SELECT motif_id, 2 * dist + 1 AS size, round(sum(w) OVER (PARTITION BY motif_id ORDER BY dist), 6) AS weight FROM h")
 def central_window_counts(t):
-    """Weights of sites in windows around the middle of the first hundred symbols."""
-    sites = best_starts(t)
-    h = E.position_histogram(sites, centre="start").where("start <= 96").withColumn("centre", F.col("start") - 1)
-    return E.central_windows(h, 100, 5).select("motif_id", "size", F.round("weight", 6).alias("weight"))
+    """Weights of best sites in windows around the middle of each whole sequence."""
+    lengths = docs(t).select(F.col("doc_id").cast("string").alias("seq_name"), F.length("seq").alias("n"))
+    return E.middle_distances(best_starts(t), lengths).withColumn("weight", F.round("weight", 6))
 
 
-@query()
+def trimmed(t):
+    """The middle hundred symbols of every sequence that has as many: central enrichment wants sequences of equal lengths."""
+    return G.equal_length(docs(t).withColumn("seq", S.centred(F.col("seq"), 100)), "seq", 100)
+
+
+def trimmed_histogram(t, wanted="true"):
+    sites = best_sites(trimmed(t).where(wanted), PSSMS, "doc_id")
+    return E.position_histogram(sites, centre="start").withColumn("centre", F.col("start") - 1)
+
+
+TRIMMED = SCAN.replace(DOCS, DOCS.replace("d AS (SELECT doc_id, source, lang, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)", "whole AS (SELECT doc_id, source, lang, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents), d AS (SELECT doc_id, source, lang, " + MIDDLE.format(n=100) + " AS seq FROM whole WHERE length(seq) >= 100)"))
+CENTRAL = f"""{TRIMMED}, {BEST}, c AS (SELECT motif_id, floor(abs(start - 1 - (100 - 5) / 2.0))::INTEGER AS dist, sum(w) AS w FROM k GROUP BY ALL),
+r AS (SELECT motif_id, 2 * dist + 1 AS size, sum(w) OVER (PARTITION BY motif_id ORDER BY dist) AS weight, sum(w) OVER (PARTITION BY motif_id) AS total FROM c),
+x AS (SELECT *, floor(weight + 0.5)::INTEGER AS kk, floor(total + 0.5)::INTEGER AS nn, least(size / 96.0, 1.0) AS p FROM r)"""
+
+
+@query(f"WITH {CENTRAL} SELECT motif_id, size, round(weight, 6) AS weight, round(total, 6) AS total, round(least(0.0, {BINOMIAL.format(k='kk', n='nn', p='p')}), 4) + 0.0 AS log_p FROM x")
 def central_enrichment(t):
-    h = E.position_histogram(best_starts(t), centre="start").where("start <= 96").withColumn("centre", F.col("start") - 1)
-    return E.central_windows(h, 100, 5)
+    """Binomial tails of the sites in windows around the middle, in sequences trimmed to a common length."""
+    out = E.central_windows(trimmed_histogram(t), 100, 5)
+    return out.select("motif_id", "size", F.round("weight", 6).alias("weight"), F.round("total", 6).alias("total"), (F.round("log_p", 4) + 0.0).alias("log_p"))
+
+
+@query(f"""WITH {TRIMMED}, {BEST}, h AS (SELECT motif_id, start - 1 AS bin, sum(w) AS w FROM k GROUP BY ALL), m AS (SELECT motif_id, sum(w) AS total FROM h GROUP BY 1),
+z AS (SELECT motif_id, total, l AS first, l + s - 1 AS last, s FROM m, range(0, 96) a(l), range(5, 26) c(s) WHERE l + s <= 96),
+x AS (SELECT motif_id, first, last, total, s / 96.0 AS p, coalesce((SELECT sum(w) FROM h WHERE h.motif_id = z.motif_id AND bin BETWEEN first AND last), 0) AS weight FROM z),
+y AS (SELECT *, floor(weight + 0.5)::INTEGER AS kk, floor(total + 0.5)::INTEGER AS nn FROM x)
+SELECT motif_id, first, last, round(weight, 6) AS weight, round(least(0.0, {BINOMIAL.format(k='kk', n='nn', p='p')}), 4) + 0.0 AS log_p FROM y""")
+def local_windows(t):
+    """Every window of 5 to 25 bins, wherever it lies."""
+    out = E.local_windows(trimmed_histogram(t), 96, 5, 25)
+    return out.select("motif_id", "first", "last", F.round("weight", 6).alias("weight"), (F.round("log_p", 4) + 0.0).alias("log_p"))
+
+
+@query()
+def discriminative_windows(t):
+    """Windows of documents of quality 1 against those of quality 0."""
+    sides = [E.local_windows(E.position_histogram(best_sites(trimmed(t).join(t.labels.where(f"quality = {q}").select("doc_id"), "doc_id", "left_semi"), PSSMS, "doc_id"), centre="start").withColumn("centre", F.col("start") - 1), 96, 5, 25) for q in (1, 0)]
+    return E.against_controls(*sides)
 
 
 SPACING = f"""p AS (SELECT seq_name, start AS ps, stop AS pe, strand AS pst FROM hits WHERE motif_id = 'M1' AND pvalue <= {MAX_P}), s AS (SELECT seq_name, start, stop, strand FROM hits WHERE motif_id = 'M2' AND pvalue <= {MAX_P}),
@@ -170,10 +209,16 @@ g AS (SELECT seq_name, pst, strand, start > pe AS r, CASE WHEN start > pe THEN s
 q AS (SELECT gap, (pst <> strand)::INTEGER + 2 * (r = (pst = '+'))::INTEGER AS quadrant FROM g WHERE gap BETWEEN 0 AND 149)"""
 
 
+def both_spacings(t):
+    """Spacings of the two motifs' hits, which are written once and read twice."""
+    checkpointed(t.spark)
+    h = hits(t).checkpoint()
+    return E.spacings(h.where("motif_id = 'M1'"), h.where("motif_id = 'M2'"), 150)
+
+
 @query(f"WITH {SCAN}, {SPACING} SELECT quadrant, floor(gap / 10)::BIGINT AS bin, count(*) AS n FROM q GROUP BY ALL")
 def spacing_quadrants(t):
-    h = hits(t)
-    s = E.spacings(h.where("motif_id = 'M1'"), h.where("motif_id = 'M2'"), 150)
+    s = both_spacings(t)
     return s.groupBy("quadrant", F.floor(F.col("gap") / 10).alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -182,15 +227,18 @@ _ORIENT = ", ".join(f"('{o}', {q})" for o, qs in E.ORIENTATIONS for q in qs)
 
 @query(f"WITH {SCAN}, {SPACING}, o(orientation, quadrant) AS (VALUES {_ORIENT}) SELECT orientation, floor(gap / 10)::BIGINT AS bin, count(*) AS n FROM q JOIN o USING (quadrant) GROUP BY ALL")
 def spacing_orientations(t):
-    h = hits(t)
-    return E.spacing_histogram(E.spacings(h.where("motif_id = 'M1'"), h.where("motif_id = 'M2'"), 150), 10)
+    return E.spacing_histogram(both_spacings(t), 10)
 
 
-@query()
+_PLACES = ", ".join(f"('{o}', {len(qs)})" for o, qs in E.ORIENTATIONS)
+
+
+@query(f"""WITH {SCAN}, {SPACING}, o(orientation, quadrant) AS (VALUES {_ORIENT}), z(orientation, places) AS (VALUES {_PLACES}), m AS (SELECT count(*)::INTEGER AS nn FROM q),
+h AS (SELECT orientation, floor(gap / 10)::BIGINT AS bin, count(*)::INTEGER AS kk FROM q JOIN o USING (quadrant) GROUP BY ALL), x AS (SELECT *, least(1.0, places * 10 / (4.0 * 145)) AS p FROM h JOIN z USING (orientation), m)
+SELECT orientation, bin, kk::BIGINT AS n, round(exp({BINOMIAL.format(k='kk', n='nn', p='p')}), 6) AS pvalue FROM x""")
 def spacing_pvalues(t):
-    h = hits(t)
-    s = E.spacings(h.where("motif_id = 'M1'"), h.where("motif_id = 'M2'"), 150)
-    return E.spacing_pvalues(E.spacing_histogram(s, 10), 150, 6, 10)
+    out = E.spacing_pvalues(E.spacing_histogram(both_spacings(t), 10), 150, 6, 10)
+    return out.select("orientation", "bin", "n", F.round("pvalue", 6).alias("pvalue"))
 
 
 @query("SELECT e.event_id, coalesce((SELECT o.value FROM events o WHERE o.user_id = e.user_id AND o.event_type = 'purchase' AND o.ts <= e.ts ORDER BY o.ts DESC LIMIT 1), -1.0) AS value FROM events e WHERE e.event_type = 'click'")

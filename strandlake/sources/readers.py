@@ -160,6 +160,63 @@ def parse_meme_xml(text: str) -> list[Motif]:
     return out
 
 
+def parse_dreme_xml(text: str) -> list[Motif]:
+    """Motif elements with a pos element for each column, whose attributes are the core symbols' frequencies (or whose values
+    are listed by letter elements of the alphabet)."""
+    root = ET.fromstring(text)
+    letters = [x.get("symbol") or x.get("id") for x in root.iter("letter")] or list(DNA.core)
+    core = [s for s in letters if s and len(s) == 1 and s in (DNA.core if set(DNA.core) <= set(letters) else PROTEIN.core)]
+    out = []
+    for m in root.iter("motif"):
+        rows = [[float(p.get(s, 0)) for s in core] for p in m.iter("pos")]
+        if rows:
+            out.append(Motif(m.get("seq") or m.get("id"), np.array(rows), m.get("alt", ""), float(m.get("nsites", 0)), float(m.get("evalue", 0)), alphabet=DNA if "".join(core) == DNA.core else PROTEIN))
+    return out
+
+
+def read_cisml(spark: SparkSession, path: str) -> DataFrame:
+    """motif_id, seq_name, start, stop, score, pvalue, matched of the matched elements of pattern-scanning results: a row for each
+    pattern is read at a time."""
+    match = "array<struct<`_start`:int,`_stop`:int,`_score`:double,`_pvalue`:double,sequence:string>>"
+    schema = f"`_name` string, `scanned-sequence` array<struct<`_name`:string,`matched-element`:{match}>>"
+    raw = spark.read.format("xml").option("rowTag", "pattern").schema(schema).load(path)
+    each = raw.select(F.col("_name").alias("motif_id"), F.explode("scanned-sequence").alias("s")).select("motif_id", F.col("s._name").alias("seq_name"), F.explode("s.matched-element").alias("m"))
+    return each.select("motif_id", "seq_name", *[F.col(f"m._{c}").alias(c) for c in ("start", "stop", "score", "pvalue")], F.trim("m.sequence").alias("matched"))
+
+
+def parse_dirichlet(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and alphas of a Dirichlet mixture: lines ``Mixture= weight`` and ``Alpha= total a1 a2 ...`` (the total is left out), or a
+    line of numbers for each component, the weight first."""
+    weights = [float(x) for x in re.findall(r"(?m)^\s*Mixture\s*=\s*(\S+)", text)]
+    alphas = [[float(x) for x in line.split()[1:]] for line in re.findall(r"(?m)^\s*Alpha\s*=\s*(.+)$", text)]
+    if not weights:
+        rows = [[float(x) for x in line.split()] for line in text.splitlines() if line.strip() and not line.lstrip().startswith("#")]
+        weights, alphas = [r[0] for r in rows], [r[1:] for r in rows]
+    return np.array(weights), np.array(alphas)
+
+
+def parse_score_matrix(text: str) -> tuple[str, np.ndarray]:
+    """Symbols and scores of a substitution matrix: a line of symbols, then a line for each, with or without its symbol."""
+    lines = [line.split() for line in text.splitlines() if line.strip() and not line.startswith("#")]
+    symbols = "".join(lines[0])
+    return symbols, np.array([[float(x) for x in (line[1:] if len(line) > len(symbols) else line)] for line in lines[1 : len(symbols) + 1]])
+
+
+def parse_hart_background(text: str, core: str = DNA.core) -> dict[str, float]:
+    """Markov tuples of a file that lists, for each order, conditional chances in the order of the tuples, a line for a context."""
+    out: dict[str, float] = {}
+    tuples = [""]
+    rows = [[float(x) for x in line.split()] for line in text.splitlines() if line.strip() and not line.lstrip().startswith(("#", ">"))]
+    values = [x for row in rows for x in row]
+    at = 0
+    while at < len(values):
+        longer = [t + s for t in tuples for s in core]
+        for t, v in zip(longer, values[at : at + len(longer)], strict=True):
+            out[t] = v * (out[t[:-1]] if len(t) > 1 else 1.0)
+        at, tuples = at + len(longer), longer
+    return out
+
+
 def parse_meme_html(text: str) -> list[Motif]:
     """Motifs of a report page: JSON data in a script, or minimal motif text in hidden fields."""
     m = re.search(r"var\s+data\s*=\s*(\{.*?\})\s*;\s*(?:\n|</script>)", text, re.S)
@@ -232,7 +289,7 @@ DIALECTS = {
 
 def load_motifs(text: str, dialect: str | None = None, pseudo: float = 0.0, bg: np.ndarray | None = None, trim_bits: float | None = None) -> list[Motif]:
     """Motifs of a file's text; without a dialect, the first reader that finds any."""
-    readers = {"meme": parse_meme, "xml": parse_meme_xml, "html": parse_meme_html, "transfac": parse_transfac}
+    readers = {"meme": parse_meme, "xml": parse_meme_xml, "dreme": parse_dreme_xml, "html": parse_meme_html, "transfac": parse_transfac}
     readers |= {k: (lambda t, line=line, rows=rows: parse_counts(t, line, rows)) for k, (line, rows) in DIALECTS.items()}
     readers |= {"sites": lambda t: [from_sites("sites", t.split())], "iupac": lambda t: [from_iupac(x, x) for x in t.split()], "elm": lambda t: [from_regex(f[0], f[-1], PROTEIN) for line in t.splitlines() if len(f := line.split("\t")) > 1], "regexp": lambda t: [from_regex(*line.split()[:2]) for line in t.splitlines() if line.strip()]}
     out: list[Motif] = []

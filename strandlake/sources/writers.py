@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,3 +88,40 @@ def clustal(aln: DataFrame, line: int = 50) -> DataFrame:
     blocks = aln.select("aln_id", "row", "species", F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{1,{line}}}"), F.lit(0))).alias("b", "s"))
     blocks = blocks.groupBy("aln_id", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "species", "s"))), lambda x: F.concat(F.rpad(x["species"], 16, " "), x["s"])), "\n").alias("t"))
     return blocks.groupBy("aln_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "t"))), lambda x: x["t"]), "\n\n").alias("t")).select(F.concat(F.lit("CLUSTAL W multiple sequence alignment\n\n"), "t", F.lit("\n")).alias("value"))
+
+
+def msf(aln: DataFrame, line: int = 50) -> DataFrame:
+    """value: an MSF file for each alignment, gaps as dots, in blocks of ``line`` columns."""
+    rows = aln.select("aln_id", "row", F.rpad("species", 16, " ").alias("name"), F.translate("seq", "-", ".").alias("seq"))
+    width = F.max(F.length("seq"))
+    entry = F.concat(F.lit(" Name: "), "name", F.lit(" Len: "), F.length("seq").cast("string"), F.lit(" Check: 0 Weight: 1.0"))
+    in_order = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", x.alias("t")))), lambda s: s["t"]), "\n")
+    head = rows.groupBy("aln_id").agg(F.concat(F.lit("PileUp\n\n MSF: "), width.cast("string"), F.lit(" Type: N Check: 0 ..\n\n"), in_order(entry), F.lit("\n\n//\n\n")).alias("h"))
+    parts = rows.select("aln_id", "row", "name", F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{1,{line}}}"), F.lit(0))).alias("b", "s"))
+    parts = parts.groupBy("aln_id", "b").agg(in_order(F.concat("name", "s")).alias("t"))
+    body = parts.groupBy("aln_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "t"))), lambda x: x["t"]), "\n\n").alias("t"))
+    return head.join(body, "aln_id").select(F.concat("h", "t", F.lit("\n")).alias("value"))
+
+
+def logo_svg(motif: Motif, height: int = 100, column: int = 30) -> str:
+    """A sequence logo: each column's letters, least frequent first, as high as their share of the column's bits."""
+    colours = {"A": "#00a000", "C": "#0000c0", "G": "#e0a000", "T": "#c00000", "U": "#c00000"}
+    unit, out = height / np.log2(motif.freqs.shape[1]), []
+    for i, (row, bits) in enumerate(zip(motif.freqs, motif.information(), strict=True)):
+        y = float(height)
+        for f, s in sorted(zip(row, motif.alphabet.core, strict=True)):
+            h = f * bits * unit
+            if h > 0.5:
+                out.append(f'<text transform="translate({i * column},{y:.2f}) scale({column / 14:.3f},{h / 14:.3f})" font-family="monospace" font-size="20" fill="{colours.get(s, "#404040")}">{s}</text>')
+                y -= h
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{motif.width * column}" height="{height}">{"".join(out)}</svg>'
+
+
+def hit_html(hits: DataFrame, title: str = "hits") -> DataFrame:
+    """value: the rows of a table of hits as HTML, a line each, between a line that opens the page and one that ends it."""
+    table = hit_table(hits)
+    cells = F.concat(*[F.concat(F.lit("<td>"), F.replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</td>")) for c in HIT_COLUMNS])
+    head = f"<!DOCTYPE html><title>{title}</title><table><tr>" + "".join(f"<th>{c}</th>" for c in HIT_COLUMNS) + "</tr>"
+    ends = hits.sparkSession.range(1).select(F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit(head).alias("value")), F.struct(F.lit(2).alias("o"), F.lit("</table>").alias("value")))).alias("e")).select("e.*")
+    rows = table.select(F.lit(1).alias("o"), F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("value"))
+    return ends.unionByName(rows).orderBy("o").select("value")
