@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.functions.special import qfast, sidak
 from strandlake.functions.symbols import DNA
 from strandlake.operators.pssm import Pssm, nint, prior_log_odds, sequence_pv, with_prior_distribution
-from strandlake.operators.ranking import qvalues
+from strandlake.operators.ranking import empirical_pvalues, empirical_qvalues, qvalues
 
 HIT = "motif_id string, seq_name string, start int, stop int, strand string, score int, pvalue double, matched string"
 DEAD = -(2**40)
@@ -202,3 +202,47 @@ def clusters(hits: DataFrame, max_gap: int = 50) -> DataFrame:
     h = hits.withColumn("new", F.coalesce((gap > max_gap).cast("int"), F.lit(1)))
     h = h.withColumn("cluster", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return h.groupBy("seq_name", "cluster").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_hits"), F.sum(-F.log2("pvalue")).alias("score"))
+
+
+def synthetic_like(df: DataFrame, name: str = "seq_name", seq: str = "seq", copies: int = 1, seed: int = 1) -> DataFrame:
+    """name, seq: random sequences as long as the real ones, of each one's own letter frequencies (0 order), seeded by name."""
+    @F.pandas_udf("string")
+    def run(names: pd.Series, seqs: pd.Series, copy: pd.Series) -> pd.Series:
+        import zlib
+
+        out = []
+        for n, s, c in zip(names, seqs, copy, strict=True):
+            rng = np.random.default_rng([seed, int(c), zlib.crc32(str(n).encode())])
+            raw = np.frombuffer((s or "").encode("latin-1", "replace"), np.uint8)
+            out.append(rng.choice(raw, len(raw)).tobytes().decode("latin-1") if len(raw) else "")
+        return pd.Series(out)
+
+    rows = df.select(F.col(name).cast("string").alias("n"), seq, F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))
+    return rows.select(F.concat_ws("#", "n", F.col("copy").cast("string")).alias(name), run("n", seq, "copy").alias(seq))
+
+
+def calibrated_clusters(df: DataFrame, pssms: list[Pssm], name: str = "seq_name", seq: str = "seq", max_p: float = 5e-4, max_gap: int = 50, copies: int = 1) -> DataFrame:
+    """``clusters`` with pvalue, evalue and qvalue: scores are held against those of clusters in synthetic sequences of the same
+    lengths and compositions, ``copies`` of each. E-values count the clusters found."""
+    real = clusters(scan(df, pssms, name, seq, max_p), max_gap).checkpoint()
+    null = clusters(scan(synthetic_like(df, name, seq, copies), pssms, name, seq, max_p), max_gap).select("score").checkpoint()
+    found = real.agg(F.count("*").alias("__n"))  # one row
+    keys = ["seq_name", "cluster"]
+    scored = empirical_pvalues(real, null, "score").crossJoin(F.broadcast(found)).withColumn("evalue", F.col("pvalue") * F.col("__n")).drop("__n")
+    return scored.join(empirical_qvalues(real, null, "score").select(*keys, "qvalue"), keys)
+
+
+def affinity_pvalues(df: DataFrame, pssms: list[Pssm], name: str = "seq_name", seq: str = "seq", bins: int = 21) -> DataFrame:
+    """``affinity`` with gc and pvalue: that of the average likelihood ratio, under a background of the sequence's share of G and C."""
+    from strandlake.functions.significance import affinity_pvalue, gc_tables
+    from strandlake.functions.symbols import gc_content
+
+    tables = {p.motif_id: (p, gc_tables(p, bins)) for p in pssms}
+    shares = df.select(F.col(name).cast("string").alias("seq_name"), F.coalesce(gc_content(seq), F.lit(0.5)).alias("gc"))
+    scored = affinity(df, pssms, name, seq).where("n_windows > 0").join(shares, "seq_name")
+
+    @F.pandas_udf("double")
+    def run(motif: pd.Series, odds: pd.Series, n: pd.Series, gc: pd.Series) -> pd.Series:
+        return pd.Series([affinity_pvalue(o, int(k), g, *tables[m]) for m, o, k, g in zip(motif, odds, n, gc, strict=True)])
+
+    return scored.withColumn("pvalue", run("motif_id", "avg_odds", "n_windows", "gc"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandlake.functions.symbols import DNA, Alphabet, canonical, words
 
@@ -175,3 +177,22 @@ def hamming_best(df: DataFrame, pattern: str, name: str, seq: str = "seq") -> Da
 def masked(seq: Column, pattern: str) -> Column:
     """Occurrences of a regular expression replaced by as many N."""
     return F.regexp_replace(seq, pattern, "N" * len(pattern) if pattern.isalpha() else "N")
+
+
+def cumulative_background(df: DataFrame, freqs: dict[str, float], name: str, seq: str = "seq") -> DataFrame:
+    """name, pos (from 1), logp: running sums of the log chances of a sequence's symbols; others than those of ``freqs`` count 0.
+    A sequence is summed where it is read."""
+    schema = StructType([df.schema[name], *StructType.fromDDL("pos int, logp double")])
+    table = np.zeros(256)
+    for s, p in freqs.items():
+        table[[ord(s), ord(s.lower())]] = np.log(p)
+
+    def run(batches):
+        for batch in batches:
+            for i, text in enumerate(batch.column(seq).to_pylist()):
+                if text:
+                    sums = np.cumsum(table[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)])
+                    rows = pa.array(np.full(len(sums), i))
+                    yield pa.RecordBatch.from_arrays([batch.column(name).take(rows), pa.array(np.arange(1, len(sums) + 1, dtype=np.int32)), pa.array(sums)], names=[name, "pos", "logp"])
+
+    return df.select(name, seq).mapInArrow(run, schema)

@@ -13,7 +13,7 @@ from strandlake.operators import pssm as P
 from strandlake.operators import ranking as R
 from strandlake.operators import scan as C
 from strandlake.operators import sequences as Q
-from strandlake.plans.registry import Tables, query
+from strandlake.plans.registry import Tables, checkpointed, query
 
 DOCS = "d AS (SELECT doc_id, source, lang, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)"
 WINDOWS = "w{k} AS (SELECT doc_id, i, substr(seq, i, {k}) AS w FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM d))"
@@ -162,7 +162,8 @@ q AS (SELECT *, min(fdr) OVER (PARTITION BY motif_id ORDER BY pvalue RANGE BETWE
 @query(f"WITH {SCAN}, {QVALUES} SELECT motif_id, seq_name, start, stop, strand, score, round(pvalue, 9) AS pvalue, round(qvalue, 9) AS qvalue FROM q")
 def scan_pvalue_qvalue(t):
     d = docs(t)
-    found = C.with_qvalues(C.scan(d, PSSMS, "doc_id", "seq", MAX_P), C.windows_tested(d, PSSMS))
+    checkpointed(t.spark)
+    found = C.with_qvalues(hits(t).checkpoint(), C.windows_tested(d, PSSMS))  # hits are read twice, documents scanned once
     return found.select("motif_id", "seq_name", "start", "stop", "strand", "score", F.round("pvalue", 9).alias("pvalue"), F.round("qvalue", 9).alias("qvalue"))
 
 
@@ -172,9 +173,11 @@ def affinity(t):
     return a.select("motif_id", "seq_name", "n_windows", "best", F.round("best_p", 9).alias("best_p"), "total_hits", F.round("avg_odds", 6).alias("avg_odds"))
 
 
-@query(f"""WITH {SCAN}, b AS (SELECT motif_id, seq_name, count(*) AS n, min(pvalue) AS p FROM hits GROUP BY ALL),
-e AS (SELECT seq_name, CASE WHEN p * n <= 0.001 THEN p * n ELSE 1 - pow(1 - p, n) END AS ev FROM b), k AS (SELECT seq_name, count(*)::INTEGER AS n, exp(sum(ln(ev))) AS k FROM e GROUP BY 1)
-SELECT seq_name, n, round(CASE WHEN n = 1 THEN k ELSE k * (1 - ln(k)) END, 6) AS pvalue FROM k""")
+BEST_E = """b AS (SELECT motif_id, seq_name, count(*) AS n, min(pvalue) AS p FROM hits GROUP BY ALL),
+e_ AS (SELECT seq_name, CASE WHEN p * n <= 0.001 THEN p * n ELSE 1 - pow(1 - p, n) END AS ev FROM b), k AS (SELECT seq_name, count(*)::INTEGER AS n, exp(sum(ln(ev))) AS k FROM e_ GROUP BY 1)"""
+
+
+@query(f"WITH {SCAN}, {BEST_E} SELECT seq_name, n, round(CASE WHEN n = 1 THEN k ELSE k * (1 - ln(k)) END, 6) AS pvalue FROM k")
 def sequence_search(t):
     """Combined p-value of each sequence over both motifs."""
     s = C.affinity(docs(t), PSSMS, "doc_id", "seq", MAX_P)
