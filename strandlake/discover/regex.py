@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,18 +38,14 @@ def score_patterns(pos: DataFrame, neg: DataFrame, patterns: list[str], seq: str
 
 def to_motif(df: DataFrame, pattern: str, name: str, seq: str = "seq") -> Motif:
     """Counts of the pattern's sites, those of its reverse complement turned over."""
-    w = len(pattern)
     sites = lambda col, p: F.regexp_extract_all(col, F.lit(f"(?=({iupac_regex(p)}))"), F.lit(1))
     both = F.concat(sites(F.col(seq), pattern), sites(reverse_complement(seq), pattern))
     counts = df.select(F.explode(both).alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()  # at most as many as words of the pattern
-    m = from_sites(name, [r["s"] for r in counts for _ in range(1)] or [pattern])
-    import numpy as np
-
-    c = np.zeros((w, 4))
+    c = np.zeros((len(pattern), 4))
     for r in counts:
         for i, x in enumerate(r["s"]):
             c[i, DNA.core.index(x)] += r["n"]
-    return Motif(name, c / c.sum(axis=1, keepdims=True), pattern, float(sum(r["n"] for r in counts))) if counts else m
+    return Motif(name, c / c.sum(axis=1, keepdims=True), pattern, float(sum(r["n"] for r in counts))) if counts else from_sites(name, [pattern])
 
 
 def discover(pos: DataFrame, neg: DataFrame, name: str, seq: str = "seq", k: int = 5, beam: int = 20, motifs: int = 1, max_log_p: float = -3.0) -> list[Motif]:
@@ -60,7 +57,7 @@ def discover(pos: DataFrame, neg: DataFrame, name: str, seq: str = "seq", k: int
             break
         front, seen = [w for _, w in best], {w for _, w in best}
         for _ in range(k):
-            new = [g for g in dict.fromkeys(g for w in front[:5] for g in generalisations(w)) if g not in seen]
+            new = [g for g in dict.fromkeys(g for w in front for g in generalisations(w)) if g not in seen]
             if not new:
                 break
             seen.update(new)

@@ -42,10 +42,53 @@ def karlin(low: int, probs: np.ndarray) -> tuple[float, float, float]:
     return lam, step * np.exp(-2 * total) / (mean * -np.expm1(-lam * step)), lam * mean / np.log(2)
 
 
+def log_upper_gamma(a: float, x: float) -> float:
+    """Log of the regularised upper incomplete gamma function: by its series below a + 1, by continued fraction beyond."""
+    if x <= 0:
+        return 0.0
+    head = a * np.log(x) - x - lgamma(a)
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-16:
+            k += 1
+            term *= x / k
+            total += term
+        return float(np.log1p(-min(np.exp(head + np.log(total)), 1 - 1e-16)))
+    b, c = x + 1 - a, 1e300
+    d = 1 / b
+    h = d
+    for i in range(1, 1000):
+        an = -i * (i - a)
+        b += 2
+        d = 1 / (an * d + b)
+        c = b + an / c
+        h *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return float(head + np.log(h))
+
+
+def log_product(log_p: float, n: int) -> float:
+    """Log of the chance that a product of ``n`` uniform numbers has a log of ``log_p`` or less."""
+    if log_p >= 0 or n == 0:
+        return 0.0
+    i = np.arange(n)
+    terms = i * np.log(-log_p) - np.array([lgamma(k + 1) for k in i])
+    return float(min(0.0, log_p + terms.max() + np.log(np.exp(terms - terms.max()).sum())))
+
+
+def log_placements(n_seqs: int, places: float, n: int) -> float:
+    """Log of the number of ways to choose ``n`` of so many sequences and one of so many places in each."""
+    return lgamma(n_seqs + 1) - lgamma(n + 1) - lgamma(n_seqs - n + 1) + n * float(np.log(places)) if n <= n_seqs else -np.inf
+
+
 class LlrTable:
     """P-values of the log likelihood ratio of an alignment of ``n`` sites, by columns: the exact distribution of one column's,
     on a grid of 1 / ``grain``, summed over columns."""
 
+    EXACT = 40
+
     def __init__(self, bg: np.ndarray, grain: int = 100):
         self.bg, self.grain = np.asarray(bg, float) / np.sum(bg), grain
         self._column = cache(self._one_column)
@@ -86,16 +129,19 @@ class LlrTable:
         return base * w, tail(out)
 
     def log_p(self, llr: float, n: float, w: int) -> float:
-        """Log p-value of ``llr`` (in nats) or more; between whole numbers of sites, the geometric mean."""
+        """Log p-value of ``llr`` (in nats) or more; between whole numbers of sites, the geometric mean. Beyond EXACT sites twice the
+        ratio is taken to be chi-squared."""
         if n <= 1 or w == 0:
             return 0.0
+        if n > self.EXACT:
+            return log_upper_gamma(w * (len(self.bg) - 1) / 2, max(llr, 0.0))
         if n != int(n):
             low = int(n)
             return (low + 1 - n) * self.log_p(llr, low, w) + (n - low) * self.log_p(llr, low + 1, w)
         base, upper = self._tail(int(n), w)
-        at = min(max(self.grain * llr - base, 0.0), len(upper) - 1)
-        logs = np.log(np.maximum(upper[[int(at), min(int(at) + 1, len(upper) - 1)]], 1e-300))
-        return float(logs[0] + (at - int(at)) * (logs[1] - logs[0]))
+        # Each symbol's part is off by half a step at most: so much is taken off, lest a score lie beyond the largest possible one.
+        at = int(np.floor(self.grain * llr - len(self.bg) * w / 2)) - base
+        return float(np.log(max(upper[min(max(at, 0), len(upper) - 1)], 1e-300)))
 
 
 def log_alignments(lengths: list[int], width: int, n: int, model: str = "zoops") -> float:

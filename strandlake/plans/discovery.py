@@ -83,6 +83,21 @@ def em_discovery(t):
     return M.motif_rows(t.spark, em.discover(_kept(t, docs(t)), 6))
 
 
+@query()
+def significant_discovery(t):
+    """A motif whose width and number of sites are chosen by significance, on both strands of the labelled documents."""
+    checkpointed(t.spark)
+    found = em.discover_significant(_kept(t, docs(t).join(t.labels, "doc_id")), 6, 8, both=True, max_log_e=float("inf"))
+    return M.motif_rows(t.spark, found)
+
+
+@query()
+def linear_model_scores(t):
+    """Scores under a linear model: the motifs in order, a spacer before, between and after."""
+    bg = np.full(4, 0.25)
+    return hmm.score_sequences(docs(t), hmm.build(MOTIFS, bg, "linear"), bg, "doc_id")
+
+
 @query()
 def hmm_scores(t):
     bg = np.full(4, 0.25)

@@ -239,10 +239,10 @@ def alignment_entropy(t):
     return A.relative_entropy(gapped_alignment(t), _BG).withColumn("bits", F.round("bits", 5))
 
 
-@query(f"WITH {DOCS}, l AS (SELECT doc_id, i, substr(seq, i, 1) AS c FROM (SELECT doc_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM d)) SELECT doc_id, i::INTEGER AS pos, round(sum(ln(CASE WHEN c IN ('A', 'T') THEN 0.3 ELSE 0.2 END)) OVER (PARTITION BY doc_id ORDER BY i), 5) AS logp FROM l")
+@query(f"WITH {DOCS}, l AS (SELECT doc_id, i, substr(seq, i, 1) AS c FROM (SELECT doc_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM d)) SELECT doc_id, i::INTEGER AS pos, round(sum(ln(CASE WHEN c IN ('A', 'T') THEN 0.3 ELSE 0.2 END)) OVER (PARTITION BY doc_id ORDER BY i), 2) AS logp FROM l")
 def cumulative_background(t):
     """Running sums of log background probabilities, every one."""
-    return Q.cumulative_background(docs(t), _BG, "doc_id").withColumn("logp", F.round("logp", 5))
+    return Q.cumulative_background(docs(t), _BG, "doc_id").withColumn("logp", F.round("logp", 2))
 
 
 @query(f"WITH {SCAN}, m AS (SELECT DISTINCT seq_name, start, stop FROM hits WHERE pvalue <= 0.002), l AS (SELECT doc_id, i, substr(seq, i, 1) AS c FROM (SELECT doc_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM d)), h AS (SELECT DISTINCT seq_name::BIGINT AS doc_id, unnest(range(start, stop + 1)) AS i FROM m), p AS (SELECT l.doc_id, l.i, c, h.i IS NOT NULL AS hide FROM l LEFT JOIN h ON h.doc_id = l.doc_id AND h.i = l.i) SELECT doc_id, string_agg(CASE WHEN hide THEN 'N' ELSE c END, '' ORDER BY i) AS seq FROM p GROUP BY 1")
