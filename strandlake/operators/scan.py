@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.special import qfast, sidak
 from strandlake.functions.symbols import DNA
 from strandlake.operators.pssm import Pssm, nint, prior_log_odds, sequence_pv, with_prior_distribution
-from strandlake.operators.ranking import empirical_pvalues, empirical_qvalues, qvalues
+from strandlake.operators.ranking import empirical_pvalues, empirical_qvalues
 
 HIT = "motif_id string, seq_name string, start int, stop int, strand string, score int, pvalue double, matched string"
-DEAD = -(2**40)
+DEAD = -(2**30)
 
 
 def encode(seq: str, symbols: str) -> np.ndarray:
@@ -28,14 +29,55 @@ def window_scores(codes: np.ndarray, scores: np.ndarray) -> np.ndarray:
     """Score of each window; below zero where one holds an ambiguous symbol."""
     w, n = len(scores), len(codes) - len(scores) + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
-    wide = np.concatenate([scores, np.full((w, 1), DEAD)], axis=1)
-    total = np.zeros(n, np.int64)
-    for j in range(w):
+        return np.zeros(0, np.int32)
+    wide = np.concatenate([scores, np.full((w, 1), DEAD // w)], axis=1).astype(np.int32)
+    total = wide[0][codes[:n]]
+    for j in range(1, w):
         total += wide[j][codes[j : j + n]]
     return total
 
 
+def joined(texts: list[str | None], limit: int = 1 << 20):
+    """Groups of (first, texts, one text of them all, starts): sequences one after the other, a blank after each, so that all windows
+    of a group are scored at once and none that counts spans two. Groups have about ``limit`` symbols."""
+    first, group, held = 0, [], 0
+    for i, text in enumerate(texts):
+        group.append(text or "")
+        held += len(group[-1]) + 1
+        if held >= limit or i + 1 == len(texts):
+            yield first, group, " ".join(group) + " ", np.cumsum([0, *[len(t) + 1 for t in group[:-1]]])
+            first, group, held = i + 1, [], 0
+
+
+ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+
+def _rows(df: DataFrame, name: str, seq: str, schema: str, make) -> DataFrame:
+    """Rows made from groups of sequences: ``make`` takes names, texts, their one text and starts, and returns a list of dicts of
+    equally long columns, as in ``schema``, or of single values that hold for all."""
+    columns = dict(c.split() for c in schema.split(", "))
+
+    def run(batches):
+        for batch in batches:
+            names = np.array(batch.column(name).cast(pa.string()).to_pylist(), dtype=object)
+            for first, texts, whole, starts in joined(batch.column(seq).to_pylist()):
+                parts = make(names[first : first + len(texts)], texts, whole, starts)
+                sizes = [len(p["seq_name"]) for p in parts]
+                whole_columns = [np.concatenate([p[c] if isinstance(p[c], np.ndarray) else np.full(n, p[c], dtype=object) for p, n in zip(parts, sizes, strict=True)]) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(v, ARROW[t], from_pandas=False) for v, t in zip(whole_columns, columns.values(), strict=True)], names=list(columns))
+
+    return df.select(name, seq).mapInArrow(run, schema)
+
+
+def sides(codes: np.ndarray, p: Pssm, both_strands: bool) -> list[tuple[str, np.ndarray]]:
+    """Scores of all windows, as many as symbols; those that reach beyond the end are below zero."""
+    out = []
+    for strand in "+-" if both_strands else "+":
+        s = window_scores(codes, p.scores if strand == "+" else minus(p.scores, p.symbols))
+        out.append((strand, np.concatenate([s, np.full(len(codes) - len(s), -1, np.int32)])))
+    return out
+
+
 def minus(scores: np.ndarray, symbols: str) -> np.ndarray:
     order = [symbols.index(DNA.complement[s]) for s in symbols]
     return scores[::-1][:, order]
@@ -45,24 +87,23 @@ def scan(df: DataFrame, pssms: list[Pssm], name: str = "seq_name", seq: str = "s
     """Windows of p-value up to ``max_p`` (or of a score from ``min_score`` on), both strands, positions from 1 on the plus
     strand. Windows with ambiguous symbols are passed over. The threshold is applied where windows are scored; matrices and
     their p-value tables go to the workers with the task."""
-    def run(frames):
-        for f in frames:
-            out = []
-            for who, text in zip(f[name], f[seq], strict=True):
-                codes = {p.symbols: None for p in pssms}
-                for p in pssms:
-                    if codes[p.symbols] is None:
-                        codes[p.symbols] = encode(text or "", p.symbols)
-                    floor = min_score if min_score is not None else int(np.searchsorted(-p.pv, -(max_p if max_p is not None else 1.0)))
-                    for strand in "+-" if both_strands else "+":
-                        s = window_scores(codes[p.symbols], p.scores if strand == "+" else minus(p.scores, p.symbols))
-                        for i in np.flatnonzero(s >= max(0, floor)):
-                            word = text[i : i + p.width].upper()
-                            word = word if strand == "+" else word[::-1].translate(str.maketrans("ACGT", "TGCA"))
-                            out.append((p.motif_id, str(who), int(i) + 1, int(i) + p.width, strand, int(s[i]), float(p.pv[min(s[i], len(p.pv) - 1)]), word))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in HIT.split(", ")])
+    turn = str.maketrans("ACGT", "TGCA")
 
-    return df.select(name, seq).mapInPandas(run, HIT)
+    def make(names, texts, whole, starts):
+        upper, out = whole.upper(), []
+        codes = {s: encode(whole, s) for s in {p.symbols for p in pssms}}
+        for p in pssms:
+            floor = min_score if min_score is not None else int(np.searchsorted(-p.pv, -(max_p if max_p is not None else 1.0)))
+            for strand, s in sides(codes[p.symbols], p, both_strands):
+                at = np.flatnonzero(s >= max(0, floor))
+                of = np.searchsorted(starts, at, side="right") - 1
+                start, own = at - starts[of] + 1, s[at]
+                words = [upper[i : i + p.width] for i in at.tolist()]
+                words = words if strand == "+" else [w[::-1].translate(turn) for w in words]
+                out.append({"motif_id": p.motif_id, "seq_name": names[of], "start": start, "stop": start + p.width - 1, "strand": strand, "score": own, "pvalue": p.pv[np.minimum(own, len(p.pv) - 1)], "matched": np.array(words, dtype=object)})
+        return out
+
+    return _rows(df, name, seq, HIT, make)
 
 
 def scan_with_priors(df: DataFrame, pssms: list[Pssm], priors: DataFrame, bins: np.ndarray, low: float, high: float, alpha: float = 1.0, name: str = "seq_name", seq: str = "seq", max_p: float = 1e-4, both_strands: bool = True) -> DataFrame:
@@ -112,24 +153,31 @@ def scan_blocks(df: DataFrame, pssms: list[Pssm], name: str = "seq_name", seq: s
 
 def best_sites(df: DataFrame, pssms: list[Pssm], name: str = "seq_name", seq: str = "seq", both_strands: bool = True) -> DataFrame:
     """Each motif's best-scoring windows of each sequence, all of those that tie; nothing else leaves the workers."""
-    def run(frames):
-        for f in frames:
-            out = []
-            for who, text in zip(f[name], f[seq], strict=True):
-                for p in pssms:
-                    c = encode(text or "", p.symbols)
-                    sides = [(strand, window_scores(c, m)) for strand, m in (("+", p.scores), ("-", minus(p.scores, p.symbols)))[: 1 + both_strands]]
-                    best = max((int(s.max()) for _, s in sides if len(s)), default=-1)
-                    if best >= 0:
-                        out += [(p.motif_id, str(who), int(i) + 1, int(i) + p.width, strand, best) for strand, s in sides for i in np.flatnonzero(s == best)]
-            yield pd.DataFrame(out, columns=["motif_id", "seq_name", "start", "stop", "strand", "score"])
+    def make(names, texts, whole, starts):
+        out = []
+        for p in pssms:
+            both = sides(encode(whole, p.symbols), p, both_strands)
+            best = np.max([np.maximum.reduceat(s, starts) for _, s in both], axis=0)
+            every = np.repeat(np.where(best >= 0, best, 2**31 - 1), np.diff([*starts, len(whole)]))
+            for strand, s in both:
+                at = np.flatnonzero(s == every)
+                of = np.searchsorted(starts, at, side="right") - 1
+                out.append({"motif_id": p.motif_id, "seq_name": names[of], "start": at - starts[of] + 1, "stop": at - starts[of] + p.width, "strand": strand, "score": s[at]})
+        return out
 
-    return df.select(name, seq).mapInPandas(run, "motif_id string, seq_name string, start int, stop int, strand string, score int")
+    return _rows(df, name, seq, "motif_id string, seq_name string, start int, stop int, strand string, score int", make)
 
 
 def with_qvalues(hits: DataFrame, windows: DataFrame) -> DataFrame:
-    """Q-values by motif over all windows tested: ``windows`` has motif_id and n. Distinct p-values are as few as scores."""
-    return qvalues(hits.join(windows.select("motif_id", F.col("n").alias("__n")), "motif_id"), "pvalue", ["motif_id"], total=F.col("__n")).drop("__n")
+    """Q-values by motif over all windows tested: ``windows`` has motif_id and n. A motif's distinct p-values are at most as many as
+    its scores, so running figures over them are one small sort. Hits are read twice; write them first if they are dear."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("motif_id").orderBy("pvalue")
+    n = hits.groupBy("motif_id", "pvalue").agg(F.count("*").alias("__k")).join(F.broadcast(windows.select("motif_id", F.col("n").alias("__n"))), "motif_id")  # a row for each motif
+    fdr = F.least(F.lit(1.0), F.col("pvalue") * F.col("__n") / F.sum("__k").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    q = n.withColumn("__fdr", fdr).select("motif_id", "pvalue", F.min("__fdr").over(own.rowsBetween(0, Window.unboundedFollowing)).alias("qvalue"))
+    return hits.join(q, ["motif_id", "pvalue"]).select(*hits.columns, "qvalue")
 
 
 def windows_tested(df: DataFrame, pssms: list[Pssm], seq: str = "seq", both_strands: bool = True) -> DataFrame:
@@ -149,26 +197,42 @@ def affinity(df: DataFrame, pssms: list[Pssm], name: str = "seq_name", seq: str
     """One row for each motif and sequence: windows scored, best score and its p-value, average, maximum and sum of the
     likelihood ratio over scorable windows and strands, windows of p-value up to ``max_p``. ``own``: p-values under the
     sequence's own composition, of both strands if both are scanned."""
-    def run(frames):
-        for f in frames:
-            out = []
-            for who, text in zip(f[name], f[seq], strict=True):
-                for p in pssms:
-                    c = encode(text or "", p.symbols)
-                    s = np.concatenate([window_scores(c, m) for m in ([p.scores, minus(p.scores, p.symbols)] if both_strands else [p.scores])])
-                    s = s[s >= 0]
-                    odds = np.exp2(p.raw(s))
-                    table = p.pv
-                    if own and len(s):
-                        n = np.bincount(c, minlength=len(p.symbols) + 1)[: len(p.symbols)].astype(float)
-                        if both_strands:
-                            n = n + n[[p.symbols.index(DNA.complement[x]) for x in p.symbols]]
-                        table = sequence_pv(p, n / n.sum())
-                    pv = table[np.minimum(s, len(table) - 1)]
-                    out.append((p.motif_id, str(who), len(s), int(s.max()) if len(s) else -1, float(pv.min()) if len(s) else 1.0, *((float(odds.mean()), float(odds.max()), float(odds.sum())) if len(s) else (0.0, 0.0, 0.0)), int((pv <= max_p).sum())))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCORED.split(", ")])
-
-    return df.select(name, seq).mapInPandas(run, SCORED)
+    def table(p: Pssm, codes: np.ndarray) -> np.ndarray:
+        n = np.bincount(codes, minlength=len(p.symbols) + 1)[: len(p.symbols)].astype(float)
+        if both_strands:
+            n = n + n[[p.symbols.index(DNA.complement[x]) for x in p.symbols]]
+        return sequence_pv(p, n / n.sum()) if n.sum() else p.pv
+
+    def make(names, texts, whole, starts):
+        out = []
+        for p in pssms:
+            codes, ends = encode(whole, p.symbols), [*starts[1:], len(whole)]
+            both = [s for _, s in sides(codes, p, both_strands)]
+            best = np.max([np.maximum.reduceat(s, starts) for s in both], axis=0)
+            n, total, odds = np.zeros(len(starts), int), np.zeros(len(starts)), np.zeros(len(starts))
+            hits, least = np.zeros(len(starts), int), np.ones(len(starts))
+            by_score = np.exp2(p.raw(np.arange(len(p.pv))))
+            for s in both:
+                ok, low = s >= 0, np.clip(s, 0, len(p.pv) - 1)
+                worth = np.where(ok, by_score[low], 0.0)
+                n += np.add.reduceat(ok, starts, dtype=int)
+                total += np.add.reduceat(worth, starts)
+                odds = np.maximum(odds, np.maximum.reduceat(worth, starts))
+                if not own:
+                    hits += np.add.reduceat(ok & (p.pv[low] <= max_p), starts, dtype=int)
+            if own:
+                for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
+                    if n[i]:
+                        pv = table(p, codes[a:b])
+                        low = np.concatenate([s[a:b] for s in both])
+                        each = pv[np.minimum(low[low >= 0], len(pv) - 1)]
+                        hits[i], least[i] = (each <= max_p).sum(), each.min()
+            else:
+                least = np.where(n > 0, p.pv[np.clip(best, 0, len(p.pv) - 1)], 1.0)
+            out.append({"motif_id": p.motif_id, "seq_name": names, "n_windows": n, "best": np.where(n > 0, best, -1), "best_p": least, "avg_odds": total / np.maximum(n, 1), "max_odds": odds, "sum_odds": total, "total_hits": hits})
+        return out
+
+    return _rows(df, name, seq, SCORED, make)
 
 
 def sequence_evalues(scored: DataFrame, n_seqs: int) -> DataFrame:

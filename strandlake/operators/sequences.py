@@ -39,19 +39,45 @@ def word_counts(df: DataFrame, k: int, seq: str = "seq", alphabet: Alphabet = DN
     return found
 
 
+def word_tables(df: DataFrame, longest: int, seq: str = "seq", alphabet: Alphabet = DNA) -> list[np.ndarray]:
+    """Counts of all words of 1 to ``longest`` core symbols, by their number to the base of the alphabet's size: one pass over the
+    sequences, a table for each partition, sums of these. Tables have size ** ``longest`` entries."""
+    size = len(alphabet.core)
+
+    def run(batches):
+        from strandlake.operators.scan import encode, joined
+
+        tables = [np.zeros(size**k, np.int64) for k in range(1, longest + 1)]
+        for batch in batches:
+            for _, _, whole, _ in joined(batch.column(seq).to_pylist()):
+                codes = encode(whole, alphabet.core)
+                word, ok = np.zeros(len(codes), np.int64), np.ones(len(codes), bool)
+                for k in range(longest):
+                    ahead = codes[k:]
+                    word, ok = word[: len(ahead)] * size + np.minimum(ahead, size - 1), ok[: len(ahead)] & (ahead < size)
+                    tables[k] += np.bincount(word[ok], minlength=size ** (k + 1))
+        for k, t in enumerate(tables):
+            at = np.flatnonzero(t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k + 1, np.int32)), pa.array(at), pa.array(t[at])], names=["k", "word", "n"])
+
+    out = [np.zeros(size**k, np.int64) for k in range(1, longest + 1)]
+    for r in df.select(seq).mapInArrow(run, "k int, word bigint, n bigint").groupBy("k", "word").agg(F.sum("n").alias("n")).collect():  # as many rows as words
+        out[r["k"] - 1][r["word"]] = r["n"]
+    return out
+
+
 def background(df: DataFrame, order: int = 0, seq: str = "seq", alphabet: Alphabet = DNA, pseudo: float = 0.1, both_strands: bool = False) -> DataFrame:
     """tuple, n, p for all words of up to ``order`` + 1 symbols: (n + pseudo / words) / (total + pseudo) at each length.
     Words that don't occur have their share of the pseudocount."""
-    out = None
-    for k in range(1, order + 2):
-        every = df.sparkSession.range(len(alphabet.core) ** k).select(
-            F.concat(*[F.substring(F.lit(alphabet.core), (F.floor(F.col("id") / len(alphabet.core) ** j) % len(alphabet.core) + 1).cast("int"), F.lit(1)) for j in reversed(range(k))]).alias("tuple")
-        )
-        n = every.join(word_counts(df, k, seq, alphabet, both_strands), "tuple", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # a row for each word
-        n = n.withColumn("p", (F.col("n") + pseudo / len(alphabet.core) ** k) / (total + pseudo))
-        out = n if out is None else out.unionByName(n)
-    return out
+    size, rows = len(alphabet.core), []
+    for k, counts in enumerate(word_tables(df, order + 1, seq, alphabet), 1):
+        digits = np.arange(size**k)[:, None] // size ** np.arange(k - 1, -1, -1) % size
+        if both_strands:
+            other = np.array([alphabet.core.index(alphabet.complement[s]) for s in alphabet.core])
+            counts = counts + counts[other[digits][:, ::-1] @ size ** np.arange(k - 1, -1, -1)]
+        p = (counts + pseudo / size**k) / (counts.sum() + pseudo)
+        rows += [("".join(alphabet.core[d] for d in w), int(n), float(x)) for w, n, x in zip(digits, counts, p, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "tuple string, n bigint, p double")
 
 
 def word_presence(df: DataFrame, k: int, name: str, seq: str = "seq", alphabet: Alphabet | None = None) -> DataFrame:
