@@ -56,7 +56,7 @@ def forget(*written: DataFrame) -> None:
 
 
 #: Bytes of text that an operator in Python takes up at once (one longer text is taken up alone).
-TAKE = 8 << 20
+TAKE = 1 << 20
 ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
 

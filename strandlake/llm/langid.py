@@ -147,8 +147,8 @@ def fit(docs: DataFrame, *, folds: int = 4, held_out: int = 2, limit: int = SAMP
     ids = bounded_sample(rows.select("doc_id").distinct(), "doc_id", limit)  # ``limit`` ids
     rows = rows.join(F.broadcast(ids), "doc_id")
     back = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("back")), F.lit(6)) == 5
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(PASSAGE))
-    cut = rows.where(~back).select("doc_id", "lang", "text", F.explode(starts).alias("at")).select("lang", F.substr("text", F.col("at") + 1, F.lit(PASSAGE)).alias("t"), F.xxhash64("doc_id", "at", "text").alias("key"))
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0))
+    cut = rows.where(~back).select("doc_id", "lang", F.posexplode(parts).alias("at", "t")).select("lang", "t", F.xxhash64("doc_id", "at", "t").alias("key"))
     model = learn([(r["t"], r["lang"]) for r in bounded_sample(cut, "key", passages).collect()])
     if not model.langs:
         return model
