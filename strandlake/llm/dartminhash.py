@@ -24,12 +24,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import expand_texts, forget, materialize, table, text_or_empty
-from strandlake.llm.shingles import ODD, cell_array, cells_of, mix, shingles
+from strandlake.llm.shingles import CELL, ODD, cell_array, cells_of, mix, shingles
 
 ROWS, BANDS = 4, 20
 COORDINATES = ROWS * BANDS
@@ -117,13 +118,17 @@ def _likenesses(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.join(sets.select(F.col("row").alias("node"), F.col("cells").alias("b")), "node")
     both = both.join(sets.select(F.col("row").alias("leader"), F.col("cells").alias("a")), "leader")
 
-    def run(frames):
-        for f in frames:
-            a, b = [cell_array(x) for x in f["a"]], [cell_array(x) for x in f["b"]]
-            n = [shared(x, y) for x, y in zip(a, b, strict=True)]
-            yield pd.DataFrame({"leader": f["leader"], "node": f["node"], "shared": n, "whole": [len(x) + len(y) - k for x, y, k in zip(a, b, n, strict=True)]})
+    def run(batches):
+        for batch in batches:  # pair by pair, so that no more than two sets are unpacked
+            a, b, out = batch.column("a"), batch.column("b"), []
+            for i in range(batch.num_rows):
+                x, y = cell_array(a[i].as_py()), cell_array(b[i].as_py())
+                n = shared(x, y)
+                out.append((n, len(x) + len(y) - n))
+            columns = [pa.array([r[j] for r in out], pa.int64()) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node"), *columns], names=["leader", "node", "shared", "whole"])
 
-    return both.select("leader", "node", "a", "b").mapInPandas(run, "leader bigint, node bigint, shared bigint, whole bigint")
+    return both.select("leader", "node", "a", "b").mapInArrow(run, "leader bigint, node bigint, shared bigint, whole bigint")
 
 
 def _within(times: int) -> F.Column:
@@ -150,8 +155,8 @@ def _blocks(field: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         field, low, high = f[~f["ring"]], *LINK
-        sets_ = [cell_array(x) for x in field["cells"]]
-        cells, of, size = np.concatenate(sets_) if sets_ else np.zeros(0, np.uint64), np.repeat(np.arange(len(sets_)), [len(s) for s in sets_]), np.array([len(s) for s in sets_])
+        size = np.array([len(x) // CELL for x in field["cells"]], dtype=np.int64)
+        cells, of = cell_array(b"".join(field["cells"])), np.repeat(np.arange(len(size)), size)
         order = np.argsort(cells, kind="stable")
         cells, of, comps, nodes, out = cells[order], of[order], field["comp"].to_numpy(), field["node"].to_numpy(), []
         for node, comp, raw in f[f["ring"]][["node", "comp", "cells"]].itertuples(index=False):
@@ -208,8 +213,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", carr
     class of them alone has a null class_id); repeated rows are rows of their own."""
     carry = carry or []
     signed = materialize(sign(df, text, key, carry), "signed")
+    ids = materialize(signed.select(key, *carry, "row", "same"), "ids")  # all that is needed in the end
     least = lambda: F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row")).alias("least")
-    same = materialize(signed.groupBy("same").agg(F.min("row").alias("node"), F.count("*").alias("copies"), least()), "same")
+    same = materialize(ids.groupBy("same").agg(F.min("row").alias("node"), F.count("*").alias("copies"), least()), "same")
     one = signed.select("row", "bands").join(same.select(F.col("node").alias("row"), "copies"), "row")
     rows = one.select(F.explode("bands").alias("band"), F.struct("copies", F.col("row").alias("node")).alias("who"))
     sets, pair = signed.select("row", "cells"), lambda x: x.select(F.col("node").alias("a"), F.col("comp").alias("b"))
@@ -227,12 +233,12 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", carr
     more = materialize(_blocks(field.unionByName(beyond), labels, sets), "more")
     if more.limit(1).count():
         labels = components(more.unionByName(pair(labels)))
-    forget(rows, seen, more)
+    forget(rows, seen, more, signed)
     named = same.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = named.groupBy("comp").agg(F.min("least").alias("first"), F.sum("copies").alias("class_rows"), F.count("*").alias("texts"))
-    total = signed.count()
+    total = ids.count()
     named = _joined(named.select("comp", "same", "copies"), classes, "comp", "texts", total)
-    out = _joined(signed.select(key, *carry, "row", "same"), named.select("same", "copies", "first", "class_rows"), "same", "copies", total)
+    out = _joined(ids, named.select("same", "copies", "first", "class_rows"), "same", "copies", total)
     return out.select(key, *carry, F.col("first.key").alias("class_id"), "class_rows", (F.col("row") == F.col("first.row")).alias("keep"))
 
 
@@ -245,7 +251,12 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     """The rows of ``df`` of which ``keep`` holds, one for each class, columns as they were. Rows are told apart by key
     and text; of rows equal in both, one stays."""
     rows = df.withColumn("__digest", F.md5(text_or_empty(text).cast("binary")))
-    kept = near_duplicates(rows.select(key, text, "__digest"), text, key, ["__digest"]).where("keep").select(F.col(key).alias("__kept"), F.col("__digest").alias("__of"))
-    named = rows.join(kept, F.col(key).eqNullSafe(F.col("__kept")) & (F.col("__digest") == F.col("__of")), "left_semi")
-    one = Window.partitionBy(key, "__digest").orderBy(F.col(text).isNull())
-    return named.withColumn("__rn", F.row_number().over(one)).where("__rn = 1").select(*df.columns)
+    marked = near_duplicates(rows.select(key, text, "__digest"), text, key, ["__digest"])
+    kept = marked.groupBy(F.col(key).alias("__kept"), F.col("__digest").alias("__of")).agg(F.max("keep").alias("keep"), F.count("*").alias("n")).where("keep")
+    kept = materialize(kept.select("__kept", "__of", "n"), "kept")  # a row for each class
+    named = lambda some: rows.join(some, F.col(key).eqNullSafe(F.col("__kept")) & (F.col("__digest") == F.col("__of")), "left_semi")
+    out = named(kept.where("n = 1")).select(*df.columns)
+    if kept.where("n > 1").limit(1).count():  # rows that repeat in key and text: one of each
+        one = Window.partitionBy(key, "__digest").orderBy(F.col(text).isNull())
+        out = out.unionByName(named(kept.where("n > 1")).withColumn("__rn", F.row_number().over(one)).where("__rn = 1").select(*df.columns))
+    return out
