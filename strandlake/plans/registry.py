@@ -41,3 +41,12 @@ def checkpointed(spark: SparkSession) -> None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place for a written table, beside the checkpoints."""
+    import uuid
+
+    checkpointed(spark)
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    return f"{root}/{name}-{uuid.uuid4().hex}"

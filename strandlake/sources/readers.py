@@ -58,7 +58,7 @@ def read_wiggle(spark: SparkSession, path: str) -> DataFrame:
     raw = raw.where(F.col("r").contains("chrom="))
     get = lambda k, d: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("r", rf"(?:^|\s){k}=(\d+)", 1), F.lit("")), F.lit("999999999999")).cast("bigint"), F.lit(d))
     head = raw.select(F.regexp_extract("r", r"chrom=(\S+)", 1).alias("chrom"), get("start", -1).alias("s"), get("step", 1).alias("step"), get("span", 1).alias("span"), F.regexp_replace("r", r"^[^\r\n]*", "").alias("body"))
-    lines = head.select("chrom", "s", "step", "span", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?m)^[ \t]*(\d[^\r\na-zA-Z]*)$"), F.lit(1))).alias("i", "l"))
+    lines = head.select("chrom", "s", "step", "span", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?m)^[ \t]*([-+.\d][^\r\n]*?)\r?$"), F.lit(1))).alias("i", "l"))
     f = F.split(F.trim("l"), r"\s+")
     return lines.select("chrom", F.when(F.col("s") >= 0, F.col("s") + F.col("i") * F.col("step")).otherwise(f[0].cast("bigint")).alias("start"), "span", F.element_at(f, -1).cast("double").alias("value"))
 
@@ -231,7 +231,7 @@ def parse_counts(text: str, name_line: str = r"^>\s*(\S+)", transposed: bool = T
     """Count or frequency matrices after name lines: rows of symbols (optionally labelled, bracketed), or rows of positions."""
     out = []
     for block in re.split("(?m)(?=" + name_line + ")", text):
-        m = re.match(name_line, block)
+        m = re.match(name_line, block, re.M)
         if not m:
             continue
         lines = [re.sub(r"^[A-Za-z]\s*[:|]?\s*|[\[\]]", " ", x) for x in block.splitlines()[1:]]
@@ -282,8 +282,8 @@ def from_regex(name: str, pattern: str, alphabet: Alphabet = DNA) -> Motif:
 
 #: Matrix dialects: name line, and whether rows are symbols.
 DIALECTS = {
-    "jaspar": (r"^>\s*(\S+)", True), "uniprobe": (r"^(?:Protein:|Gene:)?\s*([A-Za-z]\S*)\s*$", True), "chen": (r"^>\s*(\S+)", False), "beeml": (r"^#\s*(\S+)", False), "nmica": (r"^>\s*(\S+)", False),
-    "priority": (r"^Transcription factor:\s*(\S+)", True), "rna": (r"^>\s*(\S+)", False), "scpd": (r"^>\s*(\S+)", True), "taipale": (r"^([A-Za-z]\S*)\s*$", True), "tamo": (r"^Motif\s+(\S+)", False), "matrix": (r"^>?\s*([A-Za-z]\S*)", False),
+    "jaspar": (r"^>\s*(\S+)", True), "uniprobe": (r"^(?:Protein:|Gene:)?[ \t]*([A-Za-z]\S*)[ \t]*$", True), "chen": (r"^>\s*(\S+)", False), "beeml": (r"^#\s*(\S+)", False), "nmica": (r"^>\s*(\S+)", False),
+    "priority": (r"^Transcription factor:\s*(\S+)", True), "rna": (r"^>\s*(\S+)", False), "scpd": (r"^>\s*(\S+)", True), "taipale": (r"^([A-Za-z]\S*)[ \t]*$", True), "tamo": (r"^Motif\s+(\S+)", False), "matrix": (r"^>?\s*([A-Za-z]\S*)", False),
 }
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from xml.sax.saxutils import quoteattr
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +49,17 @@ def write_json(hits: DataFrame, path: str) -> None:
     nested(hits).write.json(path)
 
 
+def write_cisml(hits: DataFrame, path: str) -> None:
+    """Pattern elements, one for each motif and sequence, so that no row holds all hits of a motif; a hit on the minus strand runs
+    from its larger place to its smaller one."""
+    plus = F.col("strand") != "-"
+    hit = F.struct(F.when(plus, F.col("start")).otherwise(F.col("stop")).alias("_start"), F.when(plus, F.col("stop")).otherwise(F.col("start")).alias("_stop"), F.col("score").cast("double").alias("_score"), F.col("pvalue").alias("_pvalue"), F.col("matched").alias("sequence"))
+    each = hits.groupBy("motif_id", "seq_name").agg(F.array_sort(F.collect_list(hit)).alias("m"))
+    scanned = F.array(F.struct(F.col("seq_name").alias("_accession"), F.col("seq_name").alias("_name"), F.col("m").alias("matched-element")))
+    rows = each.select(F.col("motif_id").alias("_accession"), F.col("motif_id").alias("_name"), scanned.alias("scanned-sequence"))
+    rows.write.format("xml").option("rootTag", "cis-element-search").option("rowTag", "pattern").save(path)
+
+
 def meme_text(motifs: list[Motif], bg: dict[str, float] | None = None) -> str:
     """Minimal motif text that ``parse_meme`` reads back."""
     core = motifs[0].alphabet.core if motifs else "ACGT"
@@ -61,10 +75,44 @@ def meme_text(motifs: list[Motif], bg: dict[str, float] | None = None) -> str:
     return "\n".join(out)
 
 
-def wiggle(priors: DataFrame, span: int = 1) -> DataFrame:
-    """value: a variableStep record for each chromosome, lines in order of position."""
+#: Forms of count matrices: the line before a matrix, and whether its rows are symbols.
+COUNT_FORMS = {"jaspar": (">{}", True), "uniprobe": ("{}", True), "scpd": (">{}", True), "taipale": ("{}", True), "priority": ("Transcription factor: {}", True), "chen": (">{}", False), "nmica": (">{}", False), "rna": (">{}", False), "beeml": ("# {}", False), "tamo": ("Motif {}", False), "matrix": (">{}", False)}
+
+
+def motif_text(motifs: list[Motif], dialect: str = "meme") -> str:
+    """Motifs in a dialect that ``load_motifs`` reads back: minimal text, XML of either kind, a page with JSON data, TRANSFAC
+    records, or matrices of counts (frequencies, where the number of sites isn't known)."""
+    number = lambda x: repr(float(x))
+    if dialect == "meme":
+        return meme_text(motifs)
+    if dialect == "xml":
+        cells = lambda m, row: "".join(f'<value letter_id="{s}">{number(x)}</value>' for s, x in zip(m.alphabet.core, row, strict=True))
+        each = [f"<motif name={quoteattr(m.id)} alt={quoteattr(m.alt_id)} sites=\"{m.nsites:g}\" e_value=\"{m.evalue:g}\"><probabilities><alphabet_matrix>" + "".join(f"<alphabet_array>{cells(m, r)}</alphabet_array>" for r in m.freqs) + "</alphabet_matrix></probabilities></motif>" for m in motifs]
+        return "<motifs>" + "".join(each) + "</motifs>"
+    if dialect == "dreme":
+        letters = "".join(f'<letter symbol="{s}"/>' for s in (motifs[0].alphabet.core if motifs else ""))
+        row = lambda m, r: "<pos " + " ".join(f'{s}="{number(x)}"' for s, x in zip(m.alphabet.core, r, strict=True)) + "/>"
+        each = [f"<motif seq={quoteattr(m.id)} alt={quoteattr(m.alt_id)} nsites=\"{m.nsites:g}\" evalue=\"{m.evalue:g}\">" + "".join(row(m, r) for r in m.freqs) + "</motif>" for m in motifs]
+        return f"<dreme><model><alphabet>{letters}</alphabet></model><motifs>{''.join(each)}</motifs></dreme>"
+    if dialect == "html":
+        data = {"motifs": [{"id": m.id, "alt": m.alt_id, "nsites": m.nsites, "evalue": m.evalue, "pwm": m.freqs.tolist()} for m in motifs]}
+        return f"<html><script>\nvar data = {json.dumps(data)};\n</script></html>"
+    out = []
+    for m in motifs:
+        counts = m.freqs * (m.nsites or 1.0)
+        if dialect == "transfac":
+            out += [f"ID {m.id}", "P0 " + " ".join(m.alphabet.core), *[f"{i:02d} " + " ".join(map(number, r)) for i, r in enumerate(counts, 1)], "//"]
+        else:
+            line, symbols = COUNT_FORMS[dialect]
+            out += [line.format(m.id), *([f"{s} " + " ".join(map(number, r)) for s, r in zip(m.alphabet.core, counts.T, strict=True)] if symbols else [" ".join(map(number, r)) for r in counts])]
+    return "\n".join(out) + "\n"
+
+
+def wiggle(priors: DataFrame, span: int = 1, block: int = 1 << 16) -> DataFrame:
+    """value: a variableStep record for each ``block`` places of a chromosome, lines in order of position."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda x: F.concat_ws(" ", x["start"].cast("string"), x["value"].cast("string")))
-    return priors.groupBy("chrom").agg(lines.alias("l")).select(F.concat_ws("\n", F.concat(F.lit("variableStep chrom="), "chrom", F.lit(f" span={span}")), F.array_join("l", "\n")).alias("value"))
+    records = priors.groupBy("chrom", F.floor(F.col("start") / block).alias("block")).agg(lines.alias("l"))
+    return records.select(F.concat_ws("\n", F.concat(F.lit("variableStep chrom="), "chrom", F.lit(f" span={span}")), F.array_join("l", "\n")).alias("value"))
 
 
 def psp(priors: DataFrame, width: int) -> DataFrame:
@@ -73,6 +121,11 @@ def psp(priors: DataFrame, width: int) -> DataFrame:
     return priors.groupBy("seq_name").agg(p.alias("p")).select(F.concat(F.lit(">"), "seq_name", F.lit(f" {width}\n"), F.array_join("p", " ")).alias("value"))
 
 
+def prior_distribution(head: dict[str, float], bins: list[float]) -> str:
+    """Header figures and a line for each bin, which ``read_prior_distribution`` reads back."""
+    return "\n".join([f"# {k} {float(v)!r}" for k, v in head.items()] + [repr(float(x)) for x in bins]) + "\n"
+
+
 def fasta(df: DataFrame, name: str = "seq_name", seq: str = "seq", line: int = 60) -> DataFrame:
     return df.select(F.concat(F.lit(">"), name, F.lit("\n"), F.regexp_replace(seq, f"(.{{{line}}})(?=.)", "$1\n")).alias("value"))
 
