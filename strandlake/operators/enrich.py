@@ -31,10 +31,23 @@ def partition_scan(ranked: DataFrame, by: str, rank: str, hit: Column) -> DataFr
     return out.withColumn("fp", F.col("hits") - F.col("tp"))
 
 
+def best_threshold(pos: DataFrame, neg: DataFrame, by: str, score: str) -> DataFrame:
+    """by, score, pos_hits, pos_total, neg_hits, neg_total, log_p: for each motif the threshold of ``score`` at which sequences of ``pos``
+    (a row for each motif and sequence, its best score) stand out most against those of ``neg``, by Fisher's test; of equal ones the
+    highest. Only counts of distinct scores are put in order."""
+    n = pos.groupBy(by, score).agg(F.count("*").alias("p")).withColumn("q", F.lit(0).cast("bigint"))
+    n = n.unionByName(neg.groupBy(by, score).agg(F.count("*").alias("q")).withColumn("p", F.lit(0).cast("bigint"))).groupBy(by, score).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    w, every = Window.partitionBy(by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(by)
+    at = n.select(by, score, F.sum("p").over(w).alias("pos_hits"), F.sum("p").over(every).alias("pos_total"), F.sum("q").over(w).alias("neg_hits"), F.sum("q").over(every).alias("neg_total"))
+    at = at.withColumn("log_p", log_fisher_udf("pos_hits", "pos_total", "neg_hits", "neg_total"))
+    found = F.struct(score, "pos_hits", "pos_total", "neg_hits", "neg_total", "log_p")
+    return at.groupBy(by).agg(F.min_by(found, F.struct(F.round("log_p", 9), -F.col(score))).alias("b")).select(by, "b.*")
+
+
 def best_partition(scan: DataFrame, by: str, rank: str, tests: int = 1) -> DataFrame:
     """The prefix of least Fisher p-value, corrected for partitions and tests: 1 - (1 - p)^(n tests)."""
     p = scan.where(F.col("top") < F.col("n")).withColumn("log_p", log_fisher_udf("tp", "top", "fp", F.col("n") - F.col("top")))
-    best = p.groupBy(by).agg(F.min_by(F.struct(rank, "tp", "top", "hits", "n", "log_p"), F.struct("log_p", rank)).alias("b")).select(by, "b.*")
+    best = p.groupBy(by).agg(F.min_by(F.struct(rank, "tp", "top", "hits", "n", "log_p"), F.struct(F.round("log_p", 9), F.col(rank))).alias("b")).select(by, "b.*")
     return best.withColumn("corrected_p", -F.expm1(F.col("n") * tests * F.log1p(-F.least(F.exp("log_p"), F.lit(1 - 1e-16)))))
 
 
@@ -187,7 +200,9 @@ def shuffled_nulls(ranks: DataFrame, terms: DataFrame, gene: str, term: str, sco
     """term, times, below: how often a shuffle of the scores gives a term a rank sum no larger than its own. Shuffles are
     orders by hash of gene and turn, each sorted apart."""
     own = term_ranksum(ranks, terms, gene, term, score).select(term, F.col("ta").alias("own"))
-    turns = ranks.select(gene, F.explode(F.sequence(F.lit(1), F.lit(times))).alias("turn")).withColumn("h", F.xxhash64(gene, "turn", F.lit(seed)))
+    turns = ranks.select(gene, F.explode(F.sequence(F.lit(1), F.lit(times))).alias("turn"))
+    at = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("turn").cast("string"), F.col(gene).cast("string")).cast("binary"))
+    turns = turns.withColumn("h", F.conv(F.substring(at, 1, 13), 16, 10).cast("bigint"))
     turns = average_ranks(turns, "h", ["turn"])
     null = terms.join(turns, gene).groupBy(term, "turn").agg(F.sum("rank").alias("ta"))
     return null.join(own, term).groupBy(term).agg(F.count("*").alias("times"), F.sum((F.col("ta") <= F.col("own")).cast("bigint")).alias("below")).withColumn("pvalue", F.greatest("below", F.lit(1)) / (F.col("times") + 1))

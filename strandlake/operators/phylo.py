@@ -3,6 +3,7 @@ back; motif scores are sums over windows of columns."""
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -189,3 +190,26 @@ def branch_length_score(tree: Node, present: set[str]) -> float:
     """Share of the tree's length that joins the species which hold a site."""
     sub = trim(tree, present)
     return (sub.total_length() - sub.length) / max(1e-12, tree.total_length()) if sub and len(sub.leaves()) > 1 else 0.0
+
+
+def error_rates(tree: Node, fg: np.ndarray, bg: np.ndarray, model: str = "f81", use_hb: bool = False, bins: int = 1000) -> list[tuple[float, float, float]]:
+    """(threshold, true positives, false positives): the chance that a site which evolves under the motif ``fg``, or under the
+    background, scores ``threshold`` or more, for each attainable score, in steps of a ``bins``-th of a column's range. Every
+    pattern of bases at the leaves is counted, so trees should have few."""
+    leaves = tree.leaves()
+    patterns = [dict(zip(leaves, x, strict=True)) for x in itertools.product("ACGT", repeat=len(leaves))]
+    q = rate_matrix(model, bg)
+    null = np.array([likelihood(tree, c, q, bg) for c in patterns])
+    columns = []
+    for f in np.maximum(fg, 1e-4):
+        p = f / f.sum()
+        own = np.array([likelihood(tree, c, halpern_bruno(q, bg, f) if use_hb else rate_matrix(model, f), p) for c in patterns])
+        columns.append((np.log2(own / null), own))
+    step = max(float(np.ptp(s)) for s, _ in columns) / bins or 1.0
+    yes, no, low = np.ones(1), np.ones(1), 0
+    for s, own in columns:
+        at = np.rint(s / step).astype(int)
+        low += at.min()
+        yes, no = (np.convolve(x, np.bincount(at - at.min(), weights=w)) for x, w in ((yes, own), (no, null)))
+    tails = np.cumsum(yes[::-1])[::-1], np.cumsum(no[::-1])[::-1]
+    return [(float((low + i) * step), float(tails[0][i]), float(tails[1][i])) for i in np.flatnonzero(yes + no > 0)]

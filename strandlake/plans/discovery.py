@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from strandlake.discover import em, ptm, regex
 from strandlake.functions import symbols as S
+from strandlake.operators import diagram as D
 from strandlake.operators import hmm, phylo, workflow
 from strandlake.operators import motifs as M
 from strandlake.operators import scan as C
 from strandlake.operators import sequences as Q
 from strandlake.plans.registry import checkpointed, query
-from strandlake.plans.sequences import DOCS, MAX_P, SCAN, docs, hits
+from strandlake.plans.sequences import DOCS, MAX_P, PSSMS, SCAN, docs, hits
 from strandlake.plans.statistics import MOTIFS
 from strandlake.sources import readers, writers
 
@@ -133,16 +134,77 @@ def alignment_column_keys(t):
     return phylo.column_table(alignment(t), SPECIES)
 
 
-@query()
+def pruned(models: dict[str, tuple[list[float], float]]) -> str:
+    """SQL for ``like``: each distinct column's probability under each model of equilibrium frequencies and speed, where a base
+    changes at a rate 1 / (1 - sum of squared frequencies) times the speed to one drawn from the frequencies."""
+    rows = ", ".join(f"('{m}', '{s}', {p!r}::DOUBLE, {speed / (1 - sum(x * x for x in pi))!r}::DOUBLE)" for m, (pi, speed) in models.items() for s, p in zip("ACGT", pi, strict=True))
+    leaf = lambda c, length: f"CASE {c} WHEN '-' THEN 1.0 ELSE exp(-{length} * m.b) * ({c} = m.sym)::INTEGER + (1 - exp(-{length} * m.b)) * (SELECT pi FROM m o WHERE o.model = m.model AND o.sym = {c}) END"
+    return f"""keys AS (SELECT aln_id, i::INTEGER AS col, coalesce(max(base) FILTER (turn = 0), '-') AS x, coalesce(max(base) FILTER (turn = 1), '-') AS y, coalesce(max(base) FILTER (turn = 2), '-') AS z FROM c GROUP BY ALL),
+u AS (SELECT DISTINCT x, y, z FROM keys), m(model, sym, pi, b) AS (VALUES {rows}),
+leaves AS (SELECT x, y, z, m.model, m.sym, pi, b, ({leaf('x', 0.2)}) * ({leaf('y', 0.3)}) AS ab, {leaf('z', 0.4)} AS c FROM u, m),
+inner_ AS (SELECT *, sum(pi * ab) OVER (PARTITION BY x, y, z, model) AS mean FROM leaves),
+likes AS (SELECT x, y, z, model, sum(pi * c * (exp(-0.1 * b) * ab + (1 - exp(-0.1 * b)) * mean)) AS p FROM inner_ GROUP BY ALL)"""
+
+
+_COLUMNS = {str(i + 1): (MOTIFS[0].freqs[i].tolist(), 1.0) for i in range(MOTIFS[0].width)}
+
+
+@query(f"""WITH {ALN}, {pruned({'bg': ([0.25] * 4, 1.0), **_COLUMNS})}, odds AS (SELECT aln_id, col, f.model::INTEGER AS pos, log2(f.p / n.p) AS s FROM keys JOIN likes f USING (x, y, z) JOIN likes n USING (x, y, z) WHERE f.model <> 'bg' AND n.model = 'bg')
+SELECT aln_id, col - pos + 1 AS start, round(sum(s), 6) + 0.0 AS score FROM odds GROUP BY ALL HAVING count(*) = {MOTIFS[0].width}""")
 def phylo_scan(t):
+    """Windows of alignments under a motif's evolution against the background's."""
     keys = phylo.column_table(alignment(t), SPECIES)
     scored = phylo.score_columns(keys, phylo.parse_newick(TREE), SPECIES, MOTIFS[0].freqs, np.full(4, 0.25))
-    return phylo.scan_alignment(keys, scored, MOTIFS[0].width, "wildcard")
+    return phylo.scan_alignment(keys, scored, MOTIFS[0].width, "wildcard").withColumn("score", F.round("score", 6) + 0.0)
 
 
-@query()
+@query(f"""WITH {ALN}, {pruned({'bg': ([0.25] * 4, 1.0), 'slow': ([0.25] * 4, 0.2)})}, odds AS (SELECT aln_id, col, log2(f.p / n.p) AS s FROM keys JOIN likes f USING (x, y, z) JOIN likes n USING (x, y, z) WHERE f.model = 'slow' AND n.model = 'bg')
+SELECT aln_id, col, round(avg(s) OVER (PARTITION BY aln_id ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) + 0.0 AS score FROM odds""")
 def conservation(t):
-    return phylo.conservation(phylo.column_table(alignment(t), SPECIES), phylo.parse_newick(TREE), SPECIES, np.full(4, 0.25))
+    """Slow against normal evolution, averaged over five columns."""
+    out = phylo.conservation(phylo.column_table(alignment(t), SPECIES), phylo.parse_newick(TREE), SPECIES, np.full(4, 0.25))
+    return out.withColumn("score", F.round("score", 6) + 0.0)
+
+
+def both_sites(t):
+    """One best site of each motif in each sequence, the first of equal ones."""
+    b = C.best_sites(docs(t), PSSMS, "doc_id")
+    return b.groupBy("motif_id", "seq_name").agg(F.min(F.struct("start", "stop")).alias("s")).select("motif_id", "seq_name", "s.*")
+
+
+_SITES = "b AS (SELECT *, rank() OVER (PARTITION BY motif_id, seq_name ORDER BY score DESC) AS r FROM hits), one AS (SELECT motif_id, seq_name, min(start) AS start, min(stop) AS stop FROM b WHERE r = 1 GROUP BY ALL)"
+
+
+@query(f"""WITH {SCAN}, {_SITES}, o AS (SELECT f.seq_name, length(seq) AS len, abs(20 - (g.start - f.start)) AS err FROM one f JOIN one g USING (seq_name) JOIN d ON doc_id::VARCHAR = f.seq_name WHERE f.motif_id = 'M1' AND g.motif_id = 'M2'),
+m AS (SELECT *, len - 5 + 1 AS np, greatest(20 - err, 5 - len) AS lo, least(20 + err, len - 5) AS hi FROM o)
+SELECT seq_name, 1 AS spacings, round(CASE WHEN lo >= 0 THEN (hi - lo + 1) * (np - (hi + lo) / 2.0) ELSE -lo * (np - (1 - lo) / 2.0) + (hi + 1) * (np - hi / 2.0) END / (np * np), 9) AS pvalue FROM m WHERE hi >= lo""")
+def diagram_order(t):
+    """How well best sites keep the spacing of a diagram."""
+    lengths = docs(t).select(F.col("doc_id").cast("string").alias("seq_name"), F.length("seq").alias("len"))
+    found = D.diagram_pvalues(both_sites(t), lengths, "[+M1]-15-[+M2]", {p.motif_id: p.width for p in PSSMS})
+    return found.withColumn("pvalue", F.round("pvalue", 9))
+
+
+@query(f"WITH {SCAN}, {_SITES}, l AS (SELECT *, start - lag(stop) OVER (PARTITION BY seq_name ORDER BY start, motif_id) - 1 AS between_ FROM one), e AS (SELECT *, CASE WHEN between_ IS NOT NULL THEN greatest(between_, 0) END AS gap FROM l), g AS (SELECT motif_id, count(*) AS n, avg(start) AS mean_start, avg(gap) AS gap FROM e GROUP BY 1) SELECT motif_id, n, round(mean_start, 6) AS mean_start, round(gap, 6) AS gap, (row_number() OVER (ORDER BY mean_start, motif_id))::INTEGER AS place FROM g")
+def bead_order(t):
+    """Motifs in the order of their sites, with the gaps between them."""
+    return D.bead_order(both_sites(t)).select("motif_id", "n", F.round("mean_start", 6).alias("mean_start"), F.round("gap", 6).alias("gap"), "place")
+
+
+@query()
+def bead_scores(t):
+    """Scores under a linear model made of the best sites."""
+    bg = np.full(4, 0.25)
+    return hmm.score_sequences(docs(t), D.bead_model(both_sites(t), MOTIFS[:2], bg), bg, "doc_id")
+
+
+@query()
+def purged(t):
+    """Benchmark passages of which none aligns with an earlier one for 100 points or more."""
+    from strandlake.operators import purge
+
+    checkpointed(t.spark)
+    return purge.purge(t.benchmark.select("item_id", "text"), "item_id", 100, "text").select("item_id")
 
 
 @query(f"WITH {SCAN} SELECT seq_name || chr(9) || 'strandlake' || chr(9) || 'nucleotide_motif' || chr(9) || start || chr(9) || stop AS head, count(*) AS n FROM hits WHERE pvalue <= {MAX_P} GROUP BY 1")

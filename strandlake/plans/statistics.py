@@ -120,11 +120,33 @@ def partition_scan_counts(t):
     return E.partition_scan(docs(t), "source", "doc_id", hit).select("source", "doc_id", "tp", "fp", "top")
 
 
-@query()
+def fisher(hits, total, control_hits, control_total):
+    """SQL for the log of Fisher's one-sided p-value, from four columns."""
+    k, n, p = f"({hits} + {control_hits})", f"({total} + {control_total})", f"({total})"
+    each = f"exp(lgamma({k} + 1) - lgamma(i + 1) - lgamma({k} - i + 1) + lgamma({n} - {k} + 1) - lgamma({p} - i + 1) - lgamma({n} - {k} - {p} + i + 1) - lgamma({n} + 1) + lgamma({p} + 1) + lgamma({n} - {p} + 1))"
+    return f"CASE WHEN {k} = 0 OR {k} = {n} OR {total} = 0 OR {control_total} = 0 OR {hits} * {control_total} < {control_hits} * {total} THEN 0.0 ELSE least(0.0, ln(list_sum(list_transform(range({hits}::BIGINT, least({p}, {k})::BIGINT + 1), lambda i: {each})))) END"
+
+
+@query(f"""WITH {DOCS}, l AS (SELECT source, doc_id, (contains(seq, 'ACGT') OR contains(seq, 'TATA'))::BIGINT AS hit FROM d),
+s AS (SELECT source, doc_id, (sum(hit) OVER w)::BIGINT AS tp, count(*) OVER w AS top, (sum(hit) OVER (PARTITION BY source))::BIGINT AS hits, count(*) OVER (PARTITION BY source) AS n FROM l WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+f AS (SELECT *, {fisher('tp', 'top', '(hits - tp)', '(n - top)')} AS lp FROM s WHERE top < n)
+SELECT source, doc_id, tp, top, hits, n, round(lp, 5) + 0.0 AS log_p FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY round(lp, 9), doc_id) = 1""")
 def partition_best(t):
     """The best split of each source's documents, by Fisher's test."""
     hit = F.contains("seq", F.lit("ACGT")) | F.contains("seq", F.lit("TATA"))
-    return E.best_partition(E.partition_scan(docs(t), "source", "doc_id", hit), "source", "doc_id")
+    best = E.best_partition(E.partition_scan(docs(t), "source", "doc_id", hit), "source", "doc_id")
+    return best.drop("corrected_p").withColumn("log_p", F.round("log_p", 5) + 0.0)
+
+
+@query(f"""WITH {SCAN}, b AS (SELECT motif_id, seq_name, max(score) AS score FROM hits WHERE pvalue <= {MAX_P} GROUP BY ALL), l AS (SELECT motif_id, score, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS q FROM b JOIN labels ON doc_id::VARCHAR = seq_name GROUP BY ALL),
+s AS (SELECT motif_id, score, (sum(p) OVER w)::BIGINT AS pos_hits, (sum(p) OVER v)::BIGINT AS pos_total, (sum(q) OVER w)::BIGINT AS neg_hits, (sum(q) OVER v)::BIGINT AS neg_total FROM l WINDOW w AS (PARTITION BY motif_id ORDER BY score DESC), v AS (PARTITION BY motif_id)),
+f AS (SELECT *, {fisher('pos_hits', 'pos_total', 'neg_hits', 'neg_total')} AS lp FROM s)
+SELECT motif_id, score, pos_hits, pos_total, neg_hits, neg_total, round(lp, 5) + 0.0 AS log_p FROM f QUALIFY row_number() OVER (PARTITION BY motif_id ORDER BY round(lp, 9), score DESC) = 1""")
+def best_threshold(t):
+    """The scores from which sequences of quality 1 stand out most against those of quality 0."""
+    best = hits(t).groupBy("motif_id", "seq_name").agg(F.max("score").alias("score")).join(t.labels.withColumn("seq_name", F.col("doc_id").cast("string")), "seq_name")
+    out = E.best_threshold(best.where("quality = 1"), best.where("quality = 0"), "motif_id", "score")
+    return out.withColumn("log_p", F.round("log_p", 5) + 0.0)
 
 
 @query()
@@ -312,7 +334,9 @@ def term_ranksum(t):
     return E.term_ranksum(*genes(t), "gene", "term", "score").select("term", "na", "ta", "n")
 
 
-@query()
+@query(f"""WITH {TERMS}, o AS (SELECT term, sum(rank) AS own FROM m JOIN r USING (gene) GROUP BY 1), h AS (SELECT gene, turn, ('0x' || substr(md5('1:' || turn || ':' || gene), 1, 13))::BIGINT AS h FROM x, range(1, 21) g(turn)),
+k AS (SELECT gene, turn, rank() OVER (PARTITION BY turn ORDER BY h) AS k FROM h), z AS (SELECT term, turn, sum(k) AS ta FROM m JOIN k USING (gene) GROUP BY ALL)
+SELECT term, count(*) AS times, count(*) FILTER (ta <= own) AS below, greatest(count(*) FILTER (ta <= own), 1) / 21.0::DOUBLE AS pvalue FROM z JOIN o USING (term) GROUP BY 1""")
 def term_empirical(t):
     return E.shuffled_nulls(*genes(t), "gene", "term", "score", 20)
 
