@@ -109,6 +109,26 @@ def compare(spark, queries: list[Motif], targets: list[Motif], metric: str = "pe
     return out.where(F.col("qvalue") <= max_q) if max_q is not None else out
 
 
+def group_motifs(compared: DataFrame, order: list[str], max_e: float = 0.05) -> list[tuple[str, str, int, str]]:
+    """(motif, first of its group, offset, orientation): motifs are gone through in ``order``, the best first; each that is in no
+    group opens one and takes in all ungrouped ones of which it is as alike as ``max_e``. ``compared``: the motifs against themselves,
+    as ``compare`` leaves them, of which only the rows up to ``max_e`` come to the driver."""
+    near: dict[str, list] = {}
+    for r in compared.where(F.col("evalue") <= max_e).select("query_id", "target_id", "offset", "orientation", "evalue").collect():
+        near.setdefault(r.query_id, []).append(r)
+    out, done = [], set()
+    for first in order:
+        if first in done:
+            continue
+        done.add(first)
+        out.append((first, first, 0, "+"))
+        for r in sorted(near.get(first, []), key=lambda r: (r.evalue, order.index(r.target_id) if r.target_id in order else len(order))):
+            if r.target_id in order and r.target_id not in done:
+                done.add(r.target_id)
+                out.append((r.target_id, first, r.offset, r.orientation))
+    return out
+
+
 def column_pairs(df: DataFrame, group: str, vector: str, metrics: dict) -> DataFrame:
     """Metrics between the vectors of a small table, each pair of keys once."""
     a, b = df.select(F.col(group).alias("a"), F.col(vector).alias("x")), df.select(F.col(group).alias("b"), F.col(vector).alias("y"))

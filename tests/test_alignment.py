@@ -5,7 +5,9 @@ import itertools
 import numpy as np
 import pytest
 
-from strandlake.operators import diagram, enrich, hmm, phylo, purge
+from strandlake.discover import gapped
+from strandlake.functions.symbols import DNA
+from strandlake.operators import compare, diagram, enrich, hmm, phylo, purge
 from strandlake.operators.motifs import Motif
 from strandlake.sources import readers, writers
 
@@ -121,3 +123,59 @@ def test_tracks_with_exponents(spark, tmp_path):
     df = spark.createDataFrame([("c", 70000, 1e-7), ("c", 3, -2.5), ("c", 4, 0.0)], "chrom string, start bigint, value double")
     writers.wiggle(df).write.text(str(tmp_path / "w"))
     assert sorted(map(tuple, readers.read_wiggle(spark, str(tmp_path / "w")).collect())) == [("c", 3, 1, -2.5), ("c", 4, 1, 0.0), ("c", 70000, 1, 1e-7)]
+
+
+def test_moved_columns_meet_their_symbols():
+    rng = np.random.default_rng(4)
+    codes = [rng.integers(0, 5, n) for n in (12, 9, 3, 0)]  # 4: an unknown symbol
+    rows, places = [], []
+    for c in codes:
+        at = np.sort(rng.choice(np.arange(len(c)), 3, replace=False)) if len(c) >= 3 else np.zeros(0, int)
+        rows.append(np.where(c[at] < 4, c[at], gapped.GAP) if len(c) else None)
+        places.append(np.where(c[at] < 4, at, -1) if len(c) else np.full(3, -1))
+    moved = 0
+    for _ in range(60):
+        before = [None if r is None else r.tolist() for r in rows]
+        rows, places = gapped.move_column(rows, places, codes, BG, 50.0, rng)
+        moved += before != [None if r is None else r.tolist() for r in rows]
+        for r, at, c in zip(rows, places, codes, strict=True):
+            if r is not None:
+                assert len(r) == len(at) == 3 and all(x == (c[i] if i >= 0 else gapped.GAP) for x, i in zip(r, at, strict=True))
+                held = at[at >= 0].tolist()
+                assert held == sorted(set(held))
+    assert moved > 10
+
+
+def test_columns_move_to_the_motif():
+    """Rows that all start one symbol late are only mended by a move."""
+    codes = [np.array([0, 1, 2, 3, 0, 1, x]) for x in (0, 1, 2, 3) * 5]
+    rows, places = [c[1:7].copy() for c in codes], [np.arange(1, 7) for _ in codes]
+    start, rng = gapped.total_score(rows, 6, BG), np.random.default_rng(1)
+    for _ in range(200):
+        rows, places = gapped.move_column(rows, places, codes, BG, 0.1, rng)
+    assert gapped.total_score(rows, 6, BG) > start and rows[0].tolist() == [0, 1, 2, 3, 0, 1]
+
+
+def test_motif_groups(spark):
+    rng = np.random.default_rng(3)
+    sharp = lambda: np.eye(4)[rng.integers(0, 4, 8)] * 0.92 + 0.02
+    a, b = sharp(), sharp()
+    others = [Motif(f"x{i}", rng.dirichlet(np.ones(4), 8)) for i in range(20)]
+    one = [Motif("a", a), Motif("b", b), Motif("a2", a[1:]), Motif("b2", Motif("", b, alphabet=DNA).reverse_complement().freqs)]
+    order = [m.id for m in one + others]
+    got = {m: (first, strand) for m, first, _, strand in compare.group_motifs(compare.compare(spark, one + others, one + others), order, 0.001)}
+    assert sorted(got) == sorted(order) and got["a"] == ("a", "+") and got["a2"] == ("a", "+") and got["b2"] == ("b", "-")
+    assert compare.group_motifs(compare.compare(spark, one[:1], one[:1]).where("false"), []) == []
+
+
+def test_alignment_files(spark, tmp_path):
+    aln = spark.createDataFrame([("x", 0, "one", "AC-GT" * 30), ("x", 1, "two", "ACCGT" * 30)], "aln_id string, row int, species string, seq string")
+    writers.clustal(aln).coalesce(1).write.text(str(tmp_path / "c"))
+    assert {r.species: r.seq for r in readers.read_clustal(spark, str(tmp_path / "c" / "part*")).collect()} == {"one": "AC-GT" * 30, "two": "ACCGT" * 30}
+    assert writers.phylip(aln).first()["value"].splitlines() == ["2 150", "one       " + "AC-GT" * 30, "two       " + "ACCGT" * 30]
+    (tmp_path / "w.fa").write_text(">WEIGHTS 0.5 1\n>a\nAC\n>b\nGT\n")
+    left, weights = readers.split_weights(readers.read_fasta(spark, str(tmp_path / "w.fa")))
+    assert weights == [0.5, 1.0] and sorted(r.seq_name for r in left.collect()) == ["a", "b"]
+    m = hmm.build([Motif("a", np.eye(4) * 0.96 + 0.01)], BG)
+    again, codes = hmm.read_hmm(hmm.write_hmm(m)), np.array([3, 0, 1, 2, 3, 2])
+    assert hmm.viterbi(again, codes) == hmm.viterbi(m, codes) and hmm.forward(again, codes) == pytest.approx(hmm.forward(m, codes))
