@@ -13,7 +13,7 @@ from strandlake.operators import motifs as M
 from strandlake.operators import scan as C
 from strandlake.operators import sequences as Q
 from strandlake.plans.registry import checkpointed, query
-from strandlake.plans.sequences import DOCS, MAX_P, PSSMS, SCAN, docs, hits
+from strandlake.plans.sequences import DOCS, MAX_P, PSSMS, SCAN, TILED, docs, hits
 from strandlake.plans.statistics import MOTIFS
 from strandlake.sources import readers, writers
 
@@ -231,7 +231,7 @@ def workflow_hits(t):
     return workflow.analyse(d.where("quality = 1"), d.where("quality = 0"), MOTIFS, "doc_id")["hits"]
 
 
-@query()
+@query(f"WITH RECURSIVE {SCAN}, {TILED} SELECT seq_name, count(*) AS n FROM tiled GROUP BY 1")
 def tiled_by_sequence(t):
     return C.tile(hits(t)).groupBy("seq_name").agg(F.count("*").alias("n"))
 

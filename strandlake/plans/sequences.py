@@ -201,10 +201,17 @@ def hit_clusters(t):
     return C.clusters(hits(t)).withColumn("score", F.round("score", 6))
 
 
-@query()
+# Hits of each sequence in order, and what is kept after each of them.
+TILED = f"""o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seq_name ORDER BY start, motif_id, strand) AS i FROM hits WHERE pvalue <= {MAX_P}),
+steps(seq_name, i, kept) AS (SELECT DISTINCT seq_name, 0::BIGINT, []::STRUCT(motif_id VARCHAR, start INTEGER, stop INTEGER, strand VARCHAR, score INTEGER, pvalue DOUBLE)[] FROM o UNION ALL
+SELECT o.seq_name, o.i, CASE WHEN o.pvalue < coalesce(list_aggregate(list_transform(list_filter(kept, lambda k: k.stop >= o.start), lambda k: k.pvalue), 'product'), 2) THEN list_append(list_filter(kept, lambda k: k.stop < o.start), {{'motif_id': o.motif_id, 'start': o.start, 'stop': o.stop, 'strand': o.strand, 'score': o.score, 'pvalue': o.pvalue}}) ELSE kept END FROM steps JOIN o ON o.seq_name = steps.seq_name AND o.i = steps.i + 1),
+tiled AS (SELECT seq_name, unnest(kept, recursive := true) FROM (SELECT seq_name, kept FROM steps QUALIFY row_number() OVER (PARTITION BY seq_name ORDER BY i DESC) = 1))"""
+
+
+@query(f"WITH RECURSIVE {SCAN}, {TILED} SELECT motif_id, seq_name, start, stop, strand, score, round(pvalue, 9) AS pvalue FROM tiled")
 def tiled_hits(t):
-    """Hits that don't overlap; depends on order, so SQL can't say it."""
-    return C.tile(hits(t))
+    """Hits that don't overlap."""
+    return C.tile(hits(t)).drop("matched").withColumn("pvalue", F.round("pvalue", 9))
 
 
 @query(f"WITH {SCAN} SELECT motif_id || '|' || seq_name || '|' || start || '|' || stop AS line FROM hits WHERE pvalue <= {MAX_P} AND strand = '+'")

@@ -155,11 +155,18 @@ def set_enrichment_ranksum(t):
     return E.set_enrichment(d.withColumn("good", F.col("quality") == 1), "source", "n_chars", "good")
 
 
-@query()
+_CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+
+
+@query(f"""WITH {SCAN}, h AS (SELECT seq_name::BIGINT AS doc_id, count(*) AS n FROM hits WHERE pvalue <= {MAX_P} GROUP BY 1), l AS (SELECT lang, quality, least(2, coalesce(n, 0)) AS level FROM documents JOIN labels USING (doc_id) LEFT JOIN h USING (doc_id)),
+c AS (SELECT lang, {', '.join(f"count(*) FILTER (level = {k}) AS a{k}, count(*) FILTER (level = {k} AND quality = 1) AS p{k}" for k in range(3))} FROM l GROUP BY 1), m AS (SELECT *, a0 + a1 + a2 AS n, p0 + p1 + p2 AS m FROM c),
+k AS (SELECT *, unnest(range(p1, least(a1, m) + 1)) AS k1 FROM m), z AS (SELECT *, unnest(range(p2, least(a2, m - k1) + 1)) AS k2 FROM k)
+SELECT lang, round(least(1.0, sum(exp({_CHOOSE.format('a0', '(m - k1 - k2)')} + {_CHOOSE.format('a1', 'k1')} + {_CHOOSE.format('a2', 'k2')} - {_CHOOSE.format('n', 'm')}))), 7) AS pvalue FROM z WHERE m - k1 - k2 BETWEEN 0 AND a0 GROUP BY 1""")
 def set_enrichment_multihg(t):
+    """Are documents of quality 1 richer in hits, by classes of none, one, and more?"""
     h = hits(t).groupBy(F.col("seq_name").cast("bigint").alias("doc_id")).agg(F.count("*").alias("n"))
     d = t.documents.join(t.labels, "doc_id").join(h, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return E.set_enrichment(d.withColumn("good", F.col("quality") == 1), "lang", "n", "good", "multihg")
+    return E.set_enrichment(d.withColumn("good", F.col("quality") == 1), "lang", "n", "good", "multihg").withColumn("pvalue", F.round("pvalue", 7))
 
 
 BEST = f"b AS (SELECT *, rank() OVER (PARTITION BY motif_id, seq_name ORDER BY score DESC) AS r FROM hits), k AS (SELECT motif_id, seq_name, start, 1.0::DOUBLE / count(*) OVER (PARTITION BY motif_id, seq_name) AS w FROM b WHERE r = 1)"
