@@ -18,8 +18,8 @@ import numpy as np
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ſ–—‘-„€]*")
 #: Stands for the word-end mark; no plain text holds it.
 END = "\x01"
-#: Words kept by a worker.
-WORDS = 700_000
+#: Words kept by a worker, about 25 MB.
+WORDS = 100_000
 
 
 def byte_of() -> dict[str, int]:

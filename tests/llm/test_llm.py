@@ -667,3 +667,15 @@ def test_large_ids_beside_nulls_stay_exact(spark):
     assert ids(rollup.count_tokens(df, {"text": "n"}, packing.vocabulary()).collect()) == want
     vectors = spark.createDataFrame([(i, [1.0, float(k)]) for k, i in enumerate(big)], "vec_id bigint, embedding array<float>").coalesce(1)
     assert {r["vec_id"] for r in hilbert.search(vectors, F.lit(True)).collect()} == set(big) - {None}
+
+
+def test_words_kept_by_a_worker_stay_few():
+    import sys
+
+    from strandlake.llm.packing import vocabulary
+    from strandlake.llm.tokens import Encoder
+
+    e = Encoder(vocabulary())
+    for a in range(0, 400_000, 20_000):
+        e.encode([" ".join(f"w{i}" for i in range(a, a + 20_000))])
+    assert sys.getsizeof(e.kept) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in e.kept.items()) < 40e6
